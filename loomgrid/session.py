@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,17 @@ def written(frame: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark).rstrip('/')}/loomgrid-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers of all executors, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_loomgrid_shipped", False):
+        return
+    home = pathlib.Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="loomgrid-package-"), "loomgrid.zip")  # on the driver; its file server hands it out
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(home.rglob("*.py")):
+            z.write(path, path.relative_to(home.parent))
+    context.addPyFile(archive)
+    context._loomgrid_shipped = True
