@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions.text import reference_key, usable_text
 from loomgrid.llm.mixing import mix, shares
 from loomgrid.llm.percentiles import combine, percentiles, summarise
+from loomgrid.llm.subjects import subject_areas
 from loomgrid.llm.survivors import best_records, surviving_values
 from loomgrid.llm.tokens import count_tokens, encode_corpus
 from loomgrid.session import table
@@ -78,7 +79,16 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(mixed, targets)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_percentiles, p7_ids, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subject_areas(*[table(spark, folder, t) for t in ("documents", "doc_subjects", "subjects")]).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by subject area."""
+    return p9_found(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_percentiles, p7_ids, p8_mix, p8_shares, p9_found, p9_composition)}
 
 _WORDS = "('', '-', '--', '?', '.', 'n/a', 'na', '#n/a', 'nan', 'nil', 'none', 'null', 'unknown', 'undefined', 'tbd', 'pending', 'missing', 'not available')"
 _RECORDS = f"""
