@@ -51,7 +51,7 @@ def written(frame: DataFrame) -> DataFrame:
     """A frame as a table written to the checkpoint folder, in columns: what several passes read is made once and survives lost executors."""
     spark = frame.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/loomgrid-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
