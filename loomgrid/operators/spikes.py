@@ -2,9 +2,10 @@
 
 *Plausibility*: values at or beyond a field's physical limits and the marks that devices write for "no value".
 
-*Spikes*: peaks over threshold. Values are logarithms; the seasonal residual is the value less the median of its source and hour. Per
-source, and per field for all residuals together, the excess over a high (and under a low) quantile follows a generalised Pareto law, whose shape and
-scale come from the quantiles beyond the threshold, so that the spikes themselves don't widen it. The cutoff is the
+*Spikes*: peaks over threshold. Values are logarithms; the seasonal residual is the value less the 90 % quantile of its source and hour (the 10 %
+quantile for low ones). Per source, the excess over a high (and under a low) quantile follows a generalised Pareto law. Its shape and scale
+are drawn to the field's usual ones as far as a source's values don't tell them. Both come from quantiles down to a tail of 1.25 %, so
+spikes widen it only where they are more than that. The cutoff is the
 level that the law exceeds with the probability ``RISK``. A value is a spike if it lies beyond the cutoff of its source's levels and beyond
 that of its seasonal residuals: what the source shows at some hour is never one.
 
@@ -37,8 +38,8 @@ BINS = 200
 RISK = 1e-7
 #: Least number of values of which a source's own tail is fitted.
 FEW = 60
-#: Least distance of a cutoff beyond the threshold quantile, as a factor; and the widest.
-NEAREST, FARTHEST = 2.2, 2.6
+#: By how much the tails of a field's sources differ, in shape and in the scale's logarithm; and standard errors of the scale added to it.
+SHAPES_DIFFER, SCALES_DIFFER, MARGIN = 0.1, 0.3, 2.0
 #: Stuck runs expected by chance in the whole data.
 RUNS_BY_CHANCE = 0.02
 
@@ -98,57 +99,91 @@ def _long(rows: DataFrame) -> DataFrame:
     return out.withColumn("hour", F.coalesce(F.expr("cast(pmod(at div 3600, 24) as int)"), F.lit(-1))).withColumn("bin", F.when(~F.col("impossible"), F.round(F.log(F.greatest(F.col("value"), F.lit(1)).cast("double") + 1.0) * BINS).cast("int")))
 
 
-def _quantiles(bins: DataFrame, by: list[str], at: dict[str, float]) -> DataFrame:
-    """Quantiles of weighted bins (columns by, bin, n)."""
+def _quantiles(bins: DataFrame, by: list[str], at: dict[str, float], step: Column | float | None = None) -> DataFrame:
+    """Quantiles of weighted bins (columns by, bin, n): the bin itself or, with a step, a place within the step that its values stand for."""
     order = Window.partitionBy(*by).orderBy("bin")
     cumulated = bins.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
-    first = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * p), F.col("bin")))
-    return cumulated.groupBy(*by).agg(F.max("all").alias("size"), *[first(p).alias(n) for n, p in at.items()])
+    place = F.col("bin")
+    reached = lambda p: F.col("upto") >= F.ceil(F.col("all") * p)
+    within = lambda p: place if step is None or p == 0.5 else place + F.lit(1.0) * step * ((F.col("all") * p - F.col("upto") + F.col("n")) / F.col("n") - 0.5)
+    return cumulated.groupBy(*by).agg(F.max("all").alias("size"), *[F.min_by(F.when(reached(p), within(p)), F.when(reached(p), F.col("bin"))).alias(n) for n, p in at.items()])
 
 
-_TAIL = {"l3": 0.025, "l2": 0.05, "l1": 0.10, "mid": 0.5, "h1": 0.90, "h2": 0.95, "h3": 0.975}
+_TAIL = {"l4": 0.0125, "l3": 0.025, "l2": 0.05, "l1": 0.10, "mid": 0.5, "h1": 0.90, "h2": 0.95, "h3": 0.975, "h4": 0.9875}
 
 
-def _cutoff(u: Column, q2: Column, q3: Column) -> Column:
-    """Distance, in bins beyond the 90 % quantile, of the level exceeded with probability RISK. The law's shape is that of the
-    quantiles at tail probabilities 0.1, 0.05 and 0.025; it lies within bounds, since neighbouring bins are coarse."""
-    a, b = F.abs(q2 - u).cast("double") + 0.5, F.abs(q3 - u).cast("double") + 0.75
-    shape = F.greatest(F.lit(-0.5), F.least(F.lit(0.1), F.log2(F.greatest(b / a - 1, F.lit(0.05)))))
-    shape = F.when(F.abs(shape) < 0.01, F.lit(0.01)).otherwise(shape)
-    scale = a * shape / (F.pow(F.lit(2.0), shape) - 1)
-    level = scale / shape * (F.pow(F.lit(0.1 / RISK), shape) - 1)
-    beyond = F.abs(q3 - u)
-    return beyond + F.least(F.lit(BINS * math.log(FARTHEST)), F.greatest(F.lit(BINS * math.log(NEAREST)), level - beyond))
+def _step(bin: Column) -> Column:
+    """Bins between a whole second and the next."""
+    return F.greatest(F.lit(1.0), BINS / F.exp(bin / BINS))
 
 
-def _with_cutoffs(quantiles: DataFrame, prefix: str) -> DataFrame:
-    low, high = F.col("l1") - _cutoff(F.col("l1"), F.col("l2"), F.col("l3")), F.col("h1") + _cutoff(F.col("h1"), F.col("h2"), F.col("h3"))
-    return quantiles.select(*[c for c in quantiles.columns if c not in _TAIL and c != "size"], F.col("size").alias(f"{prefix}_size"), F.col("mid").alias(f"{prefix}_mid"), low.alias(f"{prefix}_low"), high.alias(f"{prefix}_high"))
+def _shapes(quantiles: DataFrame) -> DataFrame:
+    """Adds each tail's own shape and scale: how the steps between quantiles, each at half the tail of the one before, widen outwards, and the logarithm of two of them."""
+    apart = lambda a, b: F.greatest(F.abs(F.col(a) - F.col(b)), F.lit(0.25))
+    out = quantiles.withColumns({f"{t}_near": apart(f"{t}1", f"{t}2") for t in "lh"} | {f"{t}_far": apart(f"{t}3", f"{t}4") for t in "lh"} | {f"{t}_scale": F.log(apart(f"{t}1", f"{t}3")) for t in "lh"})
+    return out.withColumns({f"{t}_shape": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.log2(F.col(f"{t}_far") / F.col(f"{t}_near")) / 2)) for t in "lh"})
+
+
+def _cutoff(t: str, step: Column | float) -> Column:
+    """The level exceeded with probability RISK. Shape and scale are the tail's own as far as their errors allow, else the field's usual ones: the errors are those
+    of the quantiles of so many values, and of whole seconds. The shape lies between that of a regular law and that of a power law of the values; the
+    scale is taken with a margin for what is left of its error, and is at least the tail's own: a second, rare kind of values is no error."""
+    coarse = lambda width: F.pow(F.lit(1.0) * step / width, F.lit(2.0))
+    drawn = lambda c, own: own * F.col(f"{t}_{c}") + (1 - own) * F.coalesce(f"{t}_usual_{c}", f"{t}_{c}")
+    own_shape = SHAPES_DIFFER**2 / (SHAPES_DIFFER**2 + 54.0 / F.col("size") + 0.17 * coarse(F.col(f"{t}_near")))
+    shape = F.least(F.lit(-0.01), F.greatest(F.lit(-0.5), drawn("shape", own_shape)))
+    error = 15.6 / F.col("size") + coarse(F.exp(f"{t}_scale")) / 6
+    own_scale = SCALES_DIFFER**2 / (SCALES_DIFFER**2 + error)
+    scale = F.exp(F.greatest(F.col(f"{t}_scale"), drawn("scale", own_scale) + MARGIN * F.sqrt(own_scale * error)))
+    level = scale * F.expm1(shape * math.log(0.1 / RISK)) / F.expm1(shape * math.log(4.0))
+    return F.col(f"{t}1") + level if t == "h" else F.col(f"{t}1") - level
+
+
+def _with_cutoffs(quantiles: DataFrame, usual: DataFrame, prefix: str, step: Column | float = 1.0) -> DataFrame:
+    out = quantiles.join(F.broadcast(usual), "field", "left")
+    keys = [c for c in ("field", "source") if c in quantiles.columns]
+    return out.select(*keys, F.col("size").alias(f"{prefix}_size"), F.col("mid").alias(f"{prefix}_mid"), _cutoff("l", step).alias(f"{prefix}_low"), _cutoff("h", step).alias(f"{prefix}_high"))
+
+
+def _usual_shapes(shapes: DataFrame) -> DataFrame:
+    """Per field the median shape and scale of its sources, by their values: sources are places, and few."""
+    return shapes.filter(F.col("size") >= FEW).groupBy("field").agg(*[F.percentile(f"{t}_{c}", 0.5, F.col("size")).alias(f"{t}_usual_{c}") for t in "lh" for c in ("shape", "scale")])
 
 
 def cutoffs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(levels, seasons): per field and source the cutoffs of levels and residuals, per field, source and hour the median."""
+    """(levels, seasons): per field and source the cutoffs of levels and residuals, per field, source and hour the median and the thresholds."""
     bins = written(rows.filter("bin is not null").groupBy("field", "source", "hour", "bin").agg(F.count(F.lit(1)).alias("n")))
-    seasons = _quantiles(bins, ["field", "source", "hour"], {"season": 0.5}).withColumnRenamed("size", "season_size")
-    levels = _with_cutoffs(_quantiles(bins.groupBy("field", "source", "bin").agg(F.sum("n").alias("n")), ["field", "source"], _TAIL), "level")
-    usual = bins.join(seasons, ["field", "source", "hour"]).join(levels.select("field", "source", "level_mid"), ["field", "source"])
-    season = F.when(F.col("season_size") >= FEW, F.col("season")).otherwise(F.col("level_mid"))
-    residual_bins = usual.groupBy("field", "source", (F.col("bin") - season).alias("bin")).agg(F.sum("n").alias("n"))
-    residuals = _with_cutoffs(_quantiles(residual_bins, ["field", "source"], _TAIL), "residual").drop("residual_mid")
-    pooled = _with_cutoffs(_quantiles(residual_bins.groupBy("field", "bin").agg(F.sum("n").alias("n")), ["field"], _TAIL), "pooled").drop("pooled_mid")
+    seasons = _quantiles(bins, ["field", "source", "hour"], {"season_low": 0.1, "season": 0.5, "season_high": 0.9}).withColumnRenamed("size", "season_size")
+    shaped = written(_shapes(_quantiles(bins.groupBy("field", "source", "bin").agg(F.sum("n").alias("n")), ["field", "source"], _TAIL, _step(F.col("bin")))))
+    levels = _with_cutoffs(shaped, _usual_shapes(shaped), "level", _step(F.col("mid")))
+    # the thresholds of an hour with few values are those of its source
+    own = F.col("season_size") >= FEW
+    base = shaped.select("field", "source", *[F.round(c).cast("int").alias(c) for c in ("l1", "mid", "h1")])
+    seasons = seasons.join(base, ["field", "source"]).select("field", "source", "hour", *[F.when(own, F.col(c)).otherwise(F.col(d)).alias(c) for c, d in (("season_low", "l1"), ("season", "mid"), ("season_high", "h1"))])
+    seasons = written(seasons)
+    usual = bins.join(seasons, ["field", "source", "hour"])
+
+    def law(threshold: str, by: list[str]) -> DataFrame:
+        return _shapes(_quantiles(usual.groupBy(*by, (F.col("bin") - F.col(threshold)).alias("bin")).agg(F.sum("n").alias("n")), by, _TAIL, 1.0))
+
+    residuals = None
+    for threshold, side in (("season_low", "low"), ("season_high", "high")):
+        over = written(law(threshold, ["field", "source"]))
+        one = _with_cutoffs(over, _usual_shapes(over), "residual").select("field", "source", f"residual_{side}")
+        residuals = one if residuals is None else residuals.join(one, ["field", "source"])
+    pooled = _with_cutoffs(law("season", ["field"]), _usual_shapes(shaped), "pooled").drop("pooled_mid")
     # three fields
-    return levels.join(residuals, ["field", "source"]).join(F.broadcast(pooled), "field"), seasons.select("field", "source", "hour", "season", "season_size")
+    return levels.join(residuals, ["field", "source"]).join(F.broadcast(pooled), "field"), seasons
 
 
 def spikes(rows: DataFrame) -> DataFrame:
     levels, seasons = cutoffs(rows)
     judged = rows.filter("bin is not null").join(F.broadcast(levels), ["field", "source"]).join(seasons, ["field", "source", "hour"])
     few = F.col("level_size") < FEW
-    season = F.when(F.col("season_size") >= FEW, F.col("season")).otherwise(F.col("level_mid"))
-    residual = F.col("bin") - season
     level = F.col("bin") - F.when(few, F.col("level_mid")).otherwise(F.lit(0))
-    high = (level > F.when(few, F.col("pooled_high")).otherwise(F.col("level_high"))) & (residual > F.when(few, F.col("pooled_high")).otherwise(F.col("residual_high")))
-    low = (level < F.when(few, F.col("pooled_low")).otherwise(F.col("level_low"))) & (residual < F.when(few, F.col("pooled_low")).otherwise(F.col("residual_low")))
+    above, below = [F.col("bin") - F.when(few, F.col("season")).otherwise(F.col(c)) for c in ("season_high", "season_low")]
+    high = (level > F.when(few, F.col("pooled_high")).otherwise(F.col("level_high"))) & (above > F.when(few, F.col("pooled_high")).otherwise(F.col("residual_high")))
+    low = (level < F.when(few, F.col("pooled_low")).otherwise(F.col("level_low"))) & (below < F.when(few, F.col("pooled_low")).otherwise(F.col("residual_low")))
     return judged.filter(high | low)
 
 
