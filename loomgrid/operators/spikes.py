@@ -10,7 +10,8 @@ level that the law exceeds with the probability ``RISK``. A value is a spike if
 that of its seasonal residuals: what the source shows at some hour is never one.
 
 *Stuck*: a vehicle's calls in the order of its trips and their stops, repeated records of a call taken together. Neighbouring values are equal by chance with a
-probability estimated over all vehicles; a run is stuck if it is so long that less than ``RUNS_BY_CHANCE`` such runs are expected in the data.
+probability estimated over the starts of all vehicles' runs; a run is stuck if it is so long that a value starts such a run by chance with a probability of
+less than ``RISK``, at any size of the data.
 
 Quantiles come from histograms of logarithms, a few thousand bins per source that add up across partitions: no task holds a source's rows.
 Runs are found in windows over a vehicle's calls of one service date.
@@ -34,14 +35,12 @@ from loomgrid.session import written
 MARKS = (32767, 65535, 86400, 99999, 999999, 2147483647)
 #: Log bins per unit: a bin is half a percent wide.
 BINS = 200
-#: Probability with which a regular value exceeds the cutoff.
+#: Probability with which a regular value exceeds the cutoff or starts a run as long as a stuck one.
 RISK = 1e-7
 #: Least number of values of which a source's own tail is fitted.
 FEW = 60
 #: By how much the tails of a field's sources differ, in shape and in the scale's logarithm; and standard errors of the scale added to it.
 SHAPES_DIFFER, SCALES_DIFFER, MARGIN = 0.1, 0.3, 2.0
-#: Stuck runs expected by chance in the whole data.
-RUNS_BY_CHANCE = 0.02
 
 
 @dataclass(frozen=True)
@@ -194,12 +193,13 @@ def stuck(rows: DataFrame) -> DataFrame:
     calls = known.select(*call, "value").distinct()
     lane = ["service_date", "vehicle", "field"]
     order = Window.partitionBy(*lane).orderBy("start_time", "route_id", "direction_id", "stop_sequence", "value")
-    marked = calls.withColumn("before", F.lag("value").over(order)).withColumn("new", F.when(F.col("before").eqNullSafe(F.col("value")), 0).otherwise(1))
+    marked = calls.withColumn("before", F.lag("value").over(order)).withColumn("after", F.lead("value").over(order)).withColumn("new", F.when(F.col("before").eqNullSafe(F.col("value")), 0).otherwise(1))
     runs = marked.withColumn("run", F.sum("new").over(order))
     sized = runs.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy(*lane, "run")))
-    # chance: how often neighbours are equal, where runs are short
-    chance = runs.groupBy("field").agg(F.count(F.lit(1)).alias("calls"), (F.count_if((F.col("new") == 0) & F.col("before").isNotNull()) / F.count("before")).alias("p"))
-    least = chance.select("field", (1 + F.ceil(F.log(F.lit(RUNS_BY_CHANCE) / F.col("calls")) / F.log(F.least(F.greatest(F.col("p"), F.lit(0.002)), F.lit(0.9))))).alias("least"))
+    # chance: how often a run's first value is followed by an equal one, so that a stuck run counts once, whatever its length
+    started = (F.col("new") == 1) & F.col("after").isNotNull()
+    chance = runs.groupBy("field").agg((F.count_if(started & (F.col("after") == F.col("value"))) / F.nullif(F.count_if(started), F.lit(0))).alias("p"))
+    least = chance.select("field", (1 + F.ceil(math.log(RISK) / F.log(F.least(F.greatest(F.col("p"), F.lit(0.002)), F.lit(0.9))))).alias("least"))
     long_runs = sized.join(F.broadcast(least), "field").filter(F.col("length") >= F.greatest(F.col("least"), F.lit(5)))
     same = F.lit(True)
     for c in [*call, "value"]:
