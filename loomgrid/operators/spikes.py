@@ -39,6 +39,8 @@ BINS = 200
 RISK = 1e-7
 #: Least number of values of which a source's own tail is fitted.
 FEW = 60
+#: Least share of a route's rows that name a trunk which it serves; rarer ones are written wrongly.
+SERVED = 0.05
 #: By how much the tails of a field's sources differ, in shape and in the scale's logarithm; and standard errors of the scale added to it.
 SHAPES_DIFFER, SCALES_DIFFER, MARGIN = 0.1, 0.3, 2.0
 
@@ -64,8 +66,14 @@ def _majority(rows: DataFrame, by: list[str], value: str, name: str) -> DataFram
     return rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.min(F.struct(-F.col("n"), F.col(value).alias("v"))).alias("m")).select(*by, F.col("m.v").alias(name))
 
 
+def _served(rows: DataFrame) -> DataFrame:
+    """The trunks that a route serves: those of a fair share of its rows."""
+    each = rows.filter("route_id is not null and own_trunk is not null").groupBy("route_id", "own_trunk").agg(F.count(F.lit(1)).alias("n"))
+    return each.withColumn("all", F.sum("n").over(Window.partitionBy("route_id"))).filter(F.col("n") >= SERVED * F.col("all")).select("route_id", "own_trunk", F.lit(True).alias("served"))
+
+
 def prepared(replay: DataFrame) -> DataFrame:
-    """Rows with ids in one form. A row without usable trunk, station or vehicle takes that of most rows of its route, stop or trip."""
+    """Rows with ids in one form. A row without usable trunk, station or vehicle takes that of most rows of its route, stop or trip; so does one whose trunk its route doesn't serve."""
     word = lambda c: F.when(usable_text(F.col(c)), F.upper(stripped(F.col(c))))
     trip = ["service_date", "route_id", "direction_id", "start_time"]
     rows = replay.select(
@@ -77,11 +85,12 @@ def prepared(replay: DataFrame) -> DataFrame:
     # stops and routes are places: their number doesn't grow with the rows, and the joins below are left to the optimiser
     rows = rows.join(_majority(rows, ["stop"], "own_station", "usual_station"), "stop", "left")
     rows = rows.join(_majority(rows, ["route_id"], "own_trunk", "usual_trunk"), "route_id", "left")
+    rows = rows.join(_served(rows), ["route_id", "own_trunk"], "left")
     rows = rows.join(_majority(rows, trip, "own_vehicle", "usual_vehicle"), trip, "left")
     return rows.select(
         "row_id", *trip, "stop_sequence", "stop", F.coalesce("own_station", "usual_station").alias("station"),
         # the route tells the trunk more surely than a word written by hand
-        F.coalesce("own_trunk", "usual_trunk").alias("trunk"), F.coalesce("usual_vehicle", "own_vehicle").alias("vehicle"), "at", *[m.name for m in MEASURES],
+        F.coalesce(F.when(F.col("served"), F.col("own_trunk")), F.col("usual_trunk"), F.col("own_trunk")).alias("trunk"), F.coalesce("usual_vehicle", "own_vehicle").alias("vehicle"), "at", *[m.name for m in MEASURES],
     )
 
 

@@ -51,3 +51,15 @@ def test_length_is_the_same_at_every_size(spark):
     run = _regular(30, 900) + [5] * 5 + _regular(30, 901)
     small, large = [[run] + [_regular(100, s) for s in range(n)] for n in (4, 200)]
     assert p2.stuck(_calls(spark, small)).count() == p2.stuck(_calls(spark, large)).count()
+
+
+def test_wrongly_written_trunk(spark):
+    """A row alone in the source of a wrong trunk is judged by the source of its route."""
+    values = [300 + i % 40 for i in range(400)]
+    rows = [(i, 20240101, "R1", True, 60 * i, 1, "S1", "P1", "Amber" if i else "Fern", f"V{i}", 1704103200 + i, None, None, None, v if i else 5742) for i, v in enumerate(values)]
+    schema = (
+        "row_id long, service_date int, route_id string, direction_id boolean, start_time int, stop_sequence int, stop_id string, parent_station string, trunk_route_id string, "
+        "vehicle_id string, stop_timestamp long, move_timestamp long, dwell_time_seconds long, travel_time_seconds long, headway_trunk_seconds long"
+    )
+    found = p2.implausible(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.row_id, r.reason) for r in found] == [(0, "spike")]
