@@ -49,16 +49,18 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     rows = written(rows.select("source", "doc_id", "tokens", "weight", "repeats", F.xxhash64(F.lit(seed), "doc_id").alias("place")).withColumn("range", F.expr(f"cast(pmod(shiftright(place, 40), {ranges}) as int)")))
     in_range = rows.groupBy("source", "range").agg(F.sum("tokens").alias("in_range"))
     base = in_range.select("source", "range", (F.sum("in_range").over(Window.partitionBy("source").orderBy("range")) - F.col("in_range")).alias("base"), F.sum("in_range").over(Window.partitionBy("source")).alias("supply"))
-    supplies = rows.groupBy("source").agg(F.max("weight").alias("w"), (F.sum("tokens") * F.max("repeats")).alias("c"), F.sum("tokens").alias("s")).collect()  # one row per target
+    supplies = rows.groupBy("source").agg(F.max("weight").alias("w"), (F.sum("tokens") * F.max("repeats")).alias("c"), F.sum("tokens").alias("s"), F.max("tokens").alias("longest")).collect()  # one row per target
     total = budget if budget is not None else sum(r["s"] for r in supplies)
     end = _virtual_end([(r["w"], r["c"]) for r in supplies], float(total))
     # ranges are at most a 1,024th of a source's rows; the base of each is joined by its own key
     within = Window.partitionBy("source", "range").orderBy("place", "doc_id")
     queued = rows.join(F.broadcast(base), ["source", "range"]).withColumn("sum", F.col("base") + F.sum("tokens").over(within))
-    slack = end + 2.0 * end / ranges + 1e-9
+    # a queue lags behind its share by a document at most; what an open source's longest one takes is offered beyond the end
+    lag = max((r["longest"] / r["w"] for r in supplies if r["c"] / r["w"] > end), default=0.0)
+    slack = end + lag + 2.0 * end / ranges + 1e-9
     last_repeat = F.least(F.col("repeats") - 1, F.floor(F.greatest(F.lit(0.0), (F.lit(slack) * F.col("weight") - F.col("sum")) / F.greatest(F.col("supply"), F.lit(1)))).cast("int"))
     offered = queued.withColumn("repeat", F.explode(F.sequence(F.lit(0), last_repeat))).withColumn("finish", (F.col("repeat") * F.col("supply") + F.col("sum")) / F.col("weight"))
-    step = max(end, 1e-9) / ranges
+    step = max(slack, 1e-9) / ranges
     offered = offered.filter(F.col("finish") <= slack).withColumn("slot", F.floor(F.col("finish") / step).cast("int")).select("source", "doc_id", "repeat", "tokens", "finish", "slot")
     offered = written(offered)
     slots = offered.groupBy("slot").agg(F.sum("tokens").alias("in_slot"))

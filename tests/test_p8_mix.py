@@ -1,0 +1,15 @@
+"""The mix on small made tables."""
+
+from loomgrid.llm.mixing import mix
+from loomgrid.session import local_session
+
+
+def test_long_documents_fill_the_budget():
+    """The mix is as long as the order of all records lets it be, though its documents are long beside the budget."""
+    spark = local_session("2", 2)
+    sizes = spark.createDataFrame([(i, "ab"[i % 2], 900 + i) for i in range(20)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], "source string, target_weight double, max_repeats int")
+    budget = 5000
+    taken = mix(sizes, targets, budget).collect()
+    assert budget - max(r.upto for r in taken) < 920
+    assert sum(r.tokens for r in taken) == max(r.upto for r in taken)
