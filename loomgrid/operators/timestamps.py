@@ -9,7 +9,7 @@ and of the day after: an instant counts if it reads as the same local time again
 to fix. Zone abbreviations in a value are fixed offsets.
 
 Defined cases: null and blank values are no values. Values that match no format, that have ranges exceeded or that need a zone where
-none is known give -1. Very long texts fail the expression's anchors at once. Repeated rows are kept.
+none is known give -1. Texts of any length are matched whole. Repeated rows are kept.
 """
 
 from __future__ import annotations
@@ -60,8 +60,7 @@ def _components(text: Column) -> Column:
     """A struct of text components, null where a value has none; the field `form` is null where no format fits."""
     everything = "(?i)^(?:" + "|".join(FORMATS) + ")$"
     out = _MARK + _MARK.join("".join("${" + g + "}" for g in _groups(c)) for c in _COMPONENTS)
-    short = F.when(F.length(text) <= 64, text)
-    return F.split(F.regexp_replace(short, everything, out), _MARK)
+    return F.split(F.regexp_replace(text, everything, out), _MARK)
 
 
 def days_of(y: Column, m: Column, d: Column) -> Column:
