@@ -9,7 +9,7 @@ decoded up to the nearest sure boundary on either side and encoded again, over a
 Chunking and encoding run as Arrow batches over whole partitions; deduplication, joins and the concatenation of lists stay in the JVM.
 
 Defined cases: null and empty texts give an empty list. Special tokens in a text are ordinary text. Texts of any length are encoded whole. Repeated texts share all
-their chunks. Documents with the same id are encoded as separate rows only if their ids differ; ids are unique by the table's definition.
+their chunks. Rows with the same id, or none, stay separate rows.
 """
 
 from __future__ import annotations
@@ -88,13 +88,13 @@ def cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[l
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, seq, h1, h2, sure, chunk): chunk is null where the task has given it before."""
+    """(doc_id, text, row) to (doc_id, row, seq, h1, h2, sure, chunk): chunk is null where the task has given it before."""
     import xxhash
 
     digest, seen = xxhash.xxh3_128_intdigest, set()
     for b in batches:
         texts = b.column(1).cast(pa.large_binary())
-        docs = b.column(0).to_numpy(zero_copy_only=False)
+        docs, numbers = b.column(0).to_pylist(), b.column(2).to_pylist()
         raw = texts.buffers()
         offsets = np.frombuffer(raw[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         if not len(texts) or offsets[-1] == offsets[0]:
@@ -102,13 +102,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(raw[2], np.uint8)[: offsets[-1]]
         ends, sure = cuts(data, offsets[:-1], offsets[1:])
         view = memoryview(raw[2])
-        ids, seqs, ones, twos, flags, chunks = [], [], [], [], [], []
-        for doc, start, at, good in zip(docs, offsets.tolist(), ends, sure):
+        ids, rows, seqs, ones, twos, flags, chunks = [], [], [], [], [], [], []
+        for doc, row, start, at, good in zip(docs, numbers, offsets.tolist(), ends, sure):
             k = 0
             for end, ok in zip(at, good):
                 piece = bytes(view[start:end])
                 x = digest(piece)
                 ids.append(doc)
+                rows.append(row)
                 seqs.append(k)
                 ones.append((x >> 64) - (1 << 63))
                 twos.append((x & (1 << 64) - 1) - (1 << 63))
@@ -122,8 +123,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start = end
         if len(seen) > 2_000_000:
             seen.clear()
-        arrays = [pa.array(ids, pa.int64()), pa.array(seqs, pa.int32()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(flags, pa.bool_()), pa.array(chunks, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "seq", "h1", "h2", "sure", "chunk"])
+        arrays = [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(seqs, pa.int32()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(flags, pa.bool_()), pa.array(chunks, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "seq", "h1", "h2", "sure", "chunk"])
 
 
 def _width(e) -> np.dtype:
@@ -204,19 +205,19 @@ def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, ids) of every document."""
     ship(documents.sparkSession)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    chunks = written(rows.filter("text is not null and text <> ''").mapInArrow(_chunks, "doc_id long, seq int, h1 long, h2 long, sure boolean, chunk binary"))
+    chunks = written(rows.filter("text is not null and text <> ''").withColumn("row", F.monotonically_increasing_id()).mapInArrow(_chunks, "doc_id long, row long, seq int, h1 long, h2 long, sure boolean, chunk binary"))
     distinct = chunks.groupBy("h1", "h2").agg(F.first("chunk", ignorenulls=True).alias("chunk"), F.count(F.lit(1)).alias("uses"))
     # a chunk that makes up more than a thousandth of all is joined by broadcast: there are less than a thousand of them, of MOST bytes at most
     often = max(1000, chunks.count() // 1000)
     encode = _encoder(folder, name)
     parts = lambda which: distinct.filter(which).select("h1", "h2", encode("chunk").alias("part"))
-    used = chunks.select("doc_id", "seq", "h1", "h2", "sure")
+    used = chunks.select("doc_id", "row", "seq", "h1", "h2", "sure")
     frequent = F.broadcast(parts(F.col("uses") > often))
     rare = used.join(frequent.select("h1", "h2"), ["h1", "h2"], "left_anti").join(parts(F.col("uses") <= often), ["h1", "h2"])
     joined = used.join(frequent, ["h1", "h2"]).unionByName(rare)
     mark = F.unhex(F.lit("FF" * _width(encoding(folder, name)).itemsize))
-    packed = joined.select("doc_id", "seq", F.when(F.col("sure"), F.col("part")).otherwise(F.concat("part", mark)).alias("part"))
-    encoded = packed.groupBy("doc_id").agg(F.expr("listagg(part) within group (order by seq)").alias("packed")).mapInArrow(_unpacker(folder, name), "doc_id long, ids array<int>")
+    packed = joined.select("doc_id", "row", "seq", F.when(F.col("sure"), F.col("part")).otherwise(F.concat("part", mark)).alias("part"))
+    encoded = packed.groupBy("doc_id", "row").agg(F.expr("listagg(part) within group (order by seq)").alias("packed")).select("doc_id", "packed").mapInArrow(_unpacker(folder, name), "doc_id long, ids array<int>")
     empty = rows.filter("text is null or text = ''").select("doc_id", F.expr("cast(array() as array<int>)").alias("ids"))
     return encoded.unionByName(empty)
 

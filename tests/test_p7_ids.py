@@ -1,0 +1,13 @@
+"""Encoding of repeated rows."""
+
+from loomgrid.llm.tokens import encode_corpus, encoding
+from loomgrid.session import local_session
+
+
+def test_repeated_ids_stay_rows():
+    """Each row comes out with the ids of its own text, whatever its doc_id."""
+    spark = local_session("2", 2)
+    text = " ".join(f"word{i}" for i in range(2000))
+    rows = [(1, text), (1, text), (1, "other text"), (2, text), (None, "no id")]
+    found = sorted((r.doc_id or 0, list(r.ids)) for r in encode_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == sorted((d or 0, encoding().encode_ordinary(t)) for d, t in rows)
