@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrid.graph.mesh import MeshGraph
@@ -47,26 +47,29 @@ def strided(size: int, stride: int, name: str = "node"):
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """Adds `_shuffle`: an order by a seeded hash of the key, the same on any number of partitions."""
-    return rows.withColumn("_shuffle", F.xxhash64(F.lit(seed), F.col(key)))
+    """Adds `_shuffle`: an order by a seeded hash of the key, 60 bits of its MD5, the same on any number of partitions."""
+    return rows.withColumn("_shuffle", seeded_hash(seed, key))
+
+
+def seeded_hash(seed: int, *keys: str) -> Column:
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def stratified_folds(rows: DataFrame, key: str, label: str, folds: int, seed: int) -> DataFrame:
     """(key, label, fold): the rows of each label in shuffled order, dealt to the folds in turn. Places are counted within blocks of the hash, and blocks follow each other,
     so that a label of any size is spread over tasks."""
-    blocks = 1024
-    mixed = shuffled(rows.select(key, label), key, seed).withColumn("_block", F.shiftrightunsigned("_shuffle", 54).cast("int"))
+    mixed = shuffled(rows.select(key, label), key, seed).withColumn("_block", F.shiftright("_shuffle", 50).cast("int"))
     sizes = mixed.groupBy(label, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(label, "_block", (F.sum("_n").over(Window.partitionBy(label).orderBy("_block")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy(label, "_block").orderBy("_shuffle", key)) - 1
     placed = mixed.withColumn("_within", within).join(before, [label, "_block"])
-    assert blocks == 1 << 10
     return placed.select(key, label, F.pmod(F.col("_before") + F.col("_within"), F.lit(folds)).cast("int").alias("fold"))
 
 
 def balanced_patches(nodes: DataFrame, edges: DataFrame, patches: int, seed: int) -> DataFrame:
     """(graph, patch, node): the nodes of each graph shuffled and dealt to patches in turn, each patch widened by its nodes' neighbours either way."""
-    order = F.row_number().over(Window.partitionBy("graph").orderBy(F.xxhash64(F.lit(seed), "graph", "node"), "node")) - 1
+    order = F.row_number().over(Window.partitionBy("graph").orderBy(seeded_hash(seed, "graph", "node"), "node")) - 1
     core = nodes.select("graph", "node", F.pmod(order, F.lit(patches)).cast("int").alias("patch"))
     ways = edges.select("graph", "source", "target").unionByName(edges.select("graph", F.col("target").alias("source"), F.col("source").alias("target")))
     near = core.select("graph", "patch", F.col("node").alias("source")).join(ways, ["graph", "source"]).select("graph", "patch", F.col("target").alias("node"))
