@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.functions.single import with_row
 from loomgrid.graph.mesh import MeshGraph
 
 
@@ -38,8 +39,7 @@ def gaussian_affinity(graph: MeshGraph, position: DataFrame, least: float = 0.1)
 def gaussian_of(pairs: DataFrame, least: float) -> DataFrame:
     """The same for given distances (source, target, distance)."""
     sigma = pairs.agg(F.stddev_pop("distance").alias("sigma"))
-    # one row
-    scaled = pairs.withColumn("_k", F.lit(1)).join(F.broadcast(sigma.withColumn("_k", F.lit(1))), "_k")
+    scaled = with_row(pairs, sigma)
     affinity = F.exp(-F.pow(F.col("distance") / F.nullif(F.col("sigma"), F.lit(0.0)), F.lit(2.0)))
     return scaled.select("source", "target", affinity.alias("affinity")).filter(F.col("affinity") >= least)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.functions.dense import Matrix, layer_norm, linear
+from loomgrid.functions.single import with_row
 from loomgrid.graph.mesh import MeshGraph
 from loomgrid.layers.conv import cols, diffusion
 
@@ -25,8 +26,8 @@ def spatial(graph: MeshGraph, field: DataFrame, values: Names, root: tuple[Matri
 
 def batch_norm(field: DataFrame, values: Names, eps: float = 1e-5) -> DataFrame:
     """Features less their mean over all rows, by their population deviation: statistics are one row."""
-    stats = field.agg(*[F.avg(v).alias(f"_m{i}") for i, v in enumerate(values)], *[F.var_pop(v).alias(f"_v{i}") for i, v in enumerate(values)]).withColumn("_k", F.lit(1))
-    joined = field.withColumn("_k", F.lit(1)).join(F.broadcast(stats), "_k")
+    stats = field.agg(*[F.avg(v).alias(f"_m{i}") for i, v in enumerate(values)], *[F.var_pop(v).alias(f"_v{i}") for i, v in enumerate(values)])
+    joined = with_row(field, stats)
     others = [c for c in field.columns if c not in values]
     return joined.select(*others, *[((F.col(v) - F.col(f"_m{i}")) / F.sqrt(F.col(f"_v{i}") + eps)).alias(v) for i, v in enumerate(values)])
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.functions.single import with_row
 from loomgrid.session import ship
 
 
@@ -59,8 +60,8 @@ def label_accuracy(found: DataFrame, labels: DataFrame, key: str, label: str) ->
     """(queries, nearest_accuracy, majority_accuracy): how often the nearest row has the query's label, and what the most frequent label (the smallest of equally frequent ones) gives."""
     of = lambda c, n: labels.select(F.col(key).cast("long").alias(c), F.col(label).alias(n))
     judged = found.filter("place = 0").join(of("query", "mine"), "query").join(of("neighbour", "theirs"), "neighbour")
-    sums = judged.agg(F.count(F.lit(1)).alias("queries"), F.avg((F.col("mine") == F.col("theirs")).cast("double")).alias("nearest_accuracy")).withColumn("k", F.lit(1))
+    sums = judged.agg(F.count(F.lit(1)).alias("queries"), F.avg((F.col("mine") == F.col("theirs")).cast("double")).alias("nearest_accuracy"))
     counts = labels.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    major = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(label).alias("l"))).alias("m")).select("m.l").withColumn("k", F.lit(1))
-    hits = judged.withColumn("k", F.lit(1)).join(F.broadcast(major), "k").agg(F.avg((F.col("mine") == F.col("l")).cast("double")).alias("majority_accuracy")).withColumn("k", F.lit(1))
-    return sums.join(hits, "k").select("queries", "nearest_accuracy", "majority_accuracy")
+    major = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(label).alias("l"))).alias("m")).select("m.l")
+    hits = with_row(judged, major).agg(F.avg((F.col("mine") == F.col("l")).cast("double")).alias("majority_accuracy"))
+    return with_row(sums, hits)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.functions.dense import linear
+from loomgrid.functions.single import with_row
 from loomgrid.graph.mesh import MeshGraph
 
 
@@ -112,8 +113,8 @@ def sage_step(graph: MeshGraph, values: DataFrame, target: DataFrame, weight: fl
 def standardised(train: DataFrame, rows: DataFrame, columns: Sequence[str], sample: bool = True) -> DataFrame:
     """Columns of rows less the training mean, by the training deviation (1 where that is tiny): statistics are one row."""
     deviation = F.stddev_samp if sample else F.stddev_pop
-    stats = train.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)], *[deviation(c).alias(f"_s{i}") for i, c in enumerate(columns)]).withColumn("_k", F.lit(1))
-    joined = rows.withColumn("_k", F.lit(1)).join(F.broadcast(stats), "_k")
+    stats = train.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)], *[deviation(c).alias(f"_s{i}") for i, c in enumerate(columns)])
+    joined = with_row(rows, stats)
     scale = lambda i: F.when(F.col(f"_s{i}") > 1e-6, F.col(f"_s{i}")).otherwise(1.0)
     others = [c for c in rows.columns if c not in columns]
     return joined.select(*others, *[((F.col(c) - F.col(f"_m{i}")) / scale(i)).alias(c) for i, c in enumerate(columns)])

@@ -124,7 +124,7 @@ def publish(frame: DataFrame, folder: str, form: str = "csv", order: Iterable[st
 
 def observation(frame: DataFrame, settings: Mapping[str, object] | None = None) -> str:
     """A result of one row as one JSON object, with the settings that led to it."""
-    rows = frame.limit(2).toJSON().collect()
+    rows = frame.limit(2).select(F.to_json(F.struct("*"))).collect()
     if len(rows) != 1:
         raise SourceError("an observation is one row")
-    return json.dumps({"settings": dict(settings or {}), "observation": json.loads(rows[0])}, sort_keys=True)
+    return json.dumps({"settings": dict(settings or {}), "observation": json.loads(rows[0][0])}, sort_keys=True)

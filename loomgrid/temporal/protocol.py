@@ -12,15 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.functions.single import with_row
 from loomgrid.graph.mesh import MeshGraph
 from loomgrid.temporal.signal import Span
 
 
-def _with_one(frame: DataFrame, one: DataFrame) -> DataFrame:
-    """Adds the columns of a frame of one row."""
-    return frame.withColumn("_k", F.lit(1)).join(F.broadcast(one.withColumn("_k", F.lit(1))), "_k").drop("_k")
-
-
 def moments(series: DataFrame, train_end: int) -> DataFrame:
     """(mean, scale): of the observed training values; the population deviation, 1 where it is 0."""
     seen = series.filter((F.col("t") < train_end) & F.col("observed"))
@@ -30,14 +26,14 @@ def moments(series: DataFrame, train_end: int) -> DataFrame:
 def standardised(series: DataFrame, train_end: int) -> DataFrame:
     """Adds z: standardised values, 0 where nothing was observed."""
     z = F.when(F.col("observed"), (F.col("x") - F.col("mean")) / F.col("scale")).otherwise(0.0)
-    return _with_one(series, moments(series, train_end)).withColumn("z", z).drop("mean", "scale")
+    return with_row(series, moments(series, train_end)).withColumn("z", z).drop("mean", "scale")
 
 
 def node_means(series: DataFrame, train_end: int) -> DataFrame:
     """(node, mean): each node's observed training mean, that of all for nodes without any."""
     train = series.filter(F.col("t") < train_end)
     means = series.select("node").distinct().join(train.filter("observed").groupBy("node").agg(F.avg("x").alias("own")), "node", "left")
-    return _with_one(means, train.filter("observed").agg(F.avg("x").alias("every"))).select("node", F.coalesce("own", "every").alias("mean"))
+    return with_row(means, train.filter("observed").agg(F.avg("x").alias("every"))).select("node", F.coalesce("own", "every").alias("mean"))
 
 
 def phase_means(series: DataFrame, train_end: int, period: int, start: int = 0) -> DataFrame:
@@ -63,7 +59,7 @@ def linear_time(times: DataFrame, time: str, train_end: int) -> DataFrame:
     """Adds time_of_day: the phase of the day, standardised on training rows (population deviation)."""
     day = times.withColumn("_day", day_phase(F.col(time)))
     stats = day.filter(F.col("t") < train_end).agg(F.avg("_day").alias("_mean"), F.stddev_pop("_day").alias("_scale"))
-    return _with_one(day, stats).withColumn("time_of_day", (F.col("_day") - F.col("_mean")) / F.nullif(F.col("_scale"), F.lit(0.0))).drop("_day", "_mean", "_scale")
+    return with_row(day, stats).withColumn("time_of_day", (F.col("_day") - F.col("_mean")) / F.nullif(F.col("_scale"), F.lit(0.0))).drop("_day", "_mean", "_scale")
 
 
 def targets(series: DataFrame, span: Span) -> DataFrame:

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.functions.single import with_row
+
 INSTANCE = ["service_date", "start_time", "trip_id"]
 KEY = ["service_date", "vehicle_id", "parent_station", "direction_id", "departure_timestamp"]
 LANE = ["parent_station", "trunk_route_id", "direction_id"]
@@ -175,5 +177,4 @@ def replay_headway_audit(mesh: EventMesh, seconds: int = 300) -> DataFrame:
     bins = judged.filter(exact).groupBy("t_parent_station", "t_direction_id", (F.floor(F.col("t_departure_timestamp") / F.lit(seconds)) * seconds).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     sums = judged.agg(F.count(F.lit(1)).alias("derived_values"), F.count_if(exact).alias("exact_matches"), F.count_if(F.col("label") != F.col("elapsed_seconds")).alias("mismatches"), F.count_if(F.col("label").isNull()).alias("derived_only"))
     binned = bins.agg(F.count(F.lit(1)).alias("target_bins"), F.count_if(F.col("n") > 1).alias("colliding_target_bins"), F.coalesce(F.max("n"), F.lit(0)).alias("max_targets_per_bin"))
-    one = lambda f: f.withColumn("_k", F.lit(1))
-    return one(sums).join(F.broadcast(one(binned)), "_k").drop("_k")
+    return with_row(sums, binned)

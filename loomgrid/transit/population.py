@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions.service import occurred_at, service_seconds, source_kind
+from loomgrid.functions.single import with_row
 from loomgrid.session import written
 
 TRIP = ["service_date", "route_id", "trip_id"]
@@ -35,8 +36,7 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 def _dates(frame: DataFrame, rows: DataFrame, start: Column, end: Column) -> DataFrame:
     """The frame's rows once for each service date of the observed rows from start to end."""
     days = rows.agg(F.array_sort(F.collect_set("service_date")).alias("_days"))
-    one = frame.withColumn("_k", F.lit(1)).join(F.broadcast(days.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    return one.withColumn("service_date", F.explode(F.filter("_days", lambda d: (d >= start) & (d <= end)))).drop("_days")
+    return with_row(frame, days).withColumn("service_date", F.explode(F.filter("_days", lambda d: (d >= start) & (d <= end)))).drop("_days")
 
 
 def planned_calls(observed: DataFrame, trips: DataFrame, calls: DataFrame, stops: DataFrame) -> DataFrame:

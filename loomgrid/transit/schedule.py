@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions.service import service_date, service_seconds
+from loomgrid.functions.single import with_row
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 #: Columns that each table has to have, and those that are typed.
@@ -109,8 +110,8 @@ def segments(trips: DataFrame, calls: DataFrame) -> DataFrame:
 def service_active(services: DataFrame, exceptions: DataFrame, dates: DataFrame) -> DataFrame:
     """(service_id, service_date, active): weekday and range, unless an exception (added or not) of that day says otherwise.
     services: service_id, start_date, end_date and a column for each weekday; exceptions: service_id, service_date, added; dates: service_date (type date), a calendar."""
-    days = dates.agg(F.collect_set("service_date").alias("_days")).withColumn("_k", F.lit(1))
-    each = services.withColumn("_k", F.lit(1)).join(F.broadcast(days), "_k").withColumn("service_date", F.explode("_days"))
+    days = dates.agg(F.collect_set("service_date").alias("_days"))
+    each = with_row(services, days).withColumn("service_date", F.explode("_days"))
     runs = F.element_at(F.array(*[F.col(d) == 1 for d in WEEKDAYS]), F.weekday("service_date") + 1)
     base = (F.col("service_date") >= F.col("start_date")) & (F.col("service_date") <= F.col("end_date")) & runs
     said = exceptions.groupBy("service_id", "service_date").agg(F.max("added").alias("_added"))

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.functions.single import with_row
+
 INSTANCE = ["service_date", "start_time", "trip_id"]
 #: Codes of findings and what they do: "blocking" ones contradict what was said before, "policy" ones exceed a limit.
 SEVERITY = {
@@ -70,8 +72,7 @@ def findings(previous: Snapshot, current: Snapshot, as_of: int, policy: Policy)
     if now < before:
         out.append(feed("FEED_GENERATION_REGRESSED"))
     elif now == before:
-        a, b = fingerprint(content(previous)).alias("a"), fingerprint(content(current)).alias("b")
-        changed = a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)).withColumnRenamed("fingerprint", "other").select("k", "other"), "k").filter("fingerprint <> other")
+        changed = with_row(fingerprint(content(previous)), fingerprint(content(current)).select(F.col("fingerprint").alias("other"))).filter("fingerprint <> other")
         out.append(_finding(changed, "CONTENT_CHANGED_WITHOUT_GENERATION", F.lit(before), F.lit(now), keyed=False))
     if now - before > policy.max_feed_gap_seconds:
         out.append(feed("FEED_GAP_EXCEEDED", policy.max_feed_gap_seconds))
@@ -91,8 +92,8 @@ def findings(previous: Snapshot, current: Snapshot, as_of: int, policy: Policy)
 
 def eligible(current: Snapshot, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(trips, vehicles) of the current snapshot that no finding excludes: none at all after a blocking finding of the feed; a trip that is active again takes its vehicles with it."""
-    feed = found.filter("severity = 'blocking' and trip_id is null").select(F.lit(1).alias("_k")).distinct()
-    free = lambda f: f.withColumn("_k", F.lit(1)).join(F.broadcast(feed), "_k", "left_anti").drop("_k")
+    blocked = found.filter("severity = 'blocking' and trip_id is null").agg(F.count(F.lit(1)).alias("_blocked"))
+    free = lambda f: with_row(f, blocked).filter("_blocked = 0").drop("_blocked")
     of = lambda *codes: found.filter(F.col("code").isin(*codes) & F.col("trip_id").isNotNull())
     trips = free(current.trips.select(*INSTANCE).distinct()).join(of("ACTIVE_AFTER_TERMINAL", "TRIP_OBSERVATION_STALE").select(*INSTANCE), INSTANCE, "left_anti")
     vehicles = free(current.vehicles.select(*INSTANCE, "vehicle_id").distinct()).join(of("ACTIVE_AFTER_TERMINAL").select(*INSTANCE), INSTANCE, "left_anti")

@@ -2,15 +2,12 @@
 
 import math
 
-import pytest
+
 
 from loomgrid.operators import spikes as p2
-from loomgrid.session import local_session
 
 
-@pytest.fixture(scope="module")
-def spark():
-    return local_session("2", 2)
+
 
 
 def _rows(spark, values, source="a", hour=10, start=0):

@@ -1,12 +1,10 @@
 """Times in forms of any length."""
 
 from loomgrid.operators.timestamps import received_times
-from loomgrid.session import local_session
 
 
-def test_blanks_of_any_number():
+def test_blanks_of_any_number(spark):
     """Blanks between date and clock make no difference; a long text that is no time is none."""
-    spark = local_session("2", 2)
     texts = ["2024-01-02" + " " * n + "03:04:05Z" for n in (1, 60, 500)] + ["1" * 70 + " x", "2024-01-02" + " " * 3000 + "x"]
     rows = spark.createDataFrame([(i, 1, 20240102, t) for i, t in enumerate(texts)], "raw_id long, manifest_id int, service_date int, stop_timestamp string")
     zones = spark.createDataFrame([(1, "UTC")], "manifest_id int, zone string")
