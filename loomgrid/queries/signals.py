@@ -77,17 +77,17 @@ def train_standardize(spark: SparkSession, folder: str) -> DataFrame:
 
 def node_mean_fallback(spark: SparkSession, folder: str) -> DataFrame:
     series, steps = _observed(spark, folder)
-    return rounded(P.node_means(series, int(0.7 * steps)), ["mean"])
+    return rounded(P.node_means(series, int(0.7 * steps)), ["mean"], 9)
 
 
 def slot_seasonal_mean(spark: SparkSession, folder: str) -> DataFrame:
     series, steps = _observed(spark, folder)
-    return rounded(P.phase_means(series, int(0.7 * steps), DAY), ["mean"])
+    return rounded(P.phase_means(series, int(0.7 * steps), DAY), ["mean"], 9)
 
 
 def hour_of_week_mean(spark: SparkSession, folder: str) -> DataFrame:
     series, steps = _observed(spark, folder)
-    return rounded(P.phase_means(series, int(0.7 * steps), WEEK), ["mean"])
+    return rounded(P.phase_means(series, int(0.7 * steps), WEEK), ["mean"], 9)
 
 
 def calendar_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +100,7 @@ def calendar_features(spark: SparkSession, folder: str) -> DataFrame:
 def persistence_anchor(spark: SparkSession, folder: str) -> DataFrame:
     series, steps = _observed(spark, folder)
     span = S.split_spans(steps, HISTORY, HORIZON)[1]
-    return rounded(P.anchors(series, span, P.node_means(series, int(0.7 * steps))), ["anchor"])
+    return rounded(P.anchors(series, span, P.node_means(series, int(0.7 * steps))), ["anchor"], 9)
 
 
 def baseline_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -277,13 +277,13 @@ SELECT split, node, t AS start, h0, h_last, history_sum, f0, f_last, horizon_sum
     "time_split_702010": f"""{_SIGNAL} SELECT split, min(t) AS first, max(t) AS last, count(*) AS rows, CAST(sum(x) AS BIGINT) AS events FROM (SELECT 'train' AS split, * FROM s, k WHERE t < a UNION ALL SELECT 'validation', * FROM s, k WHERE t >= a - 3 AND t < b
 UNION ALL SELECT 'test', * FROM s, k WHERE t >= b - 3) GROUP BY 1""",
     "train_standardize": f"{_SEEN}, st AS (SELECT avg(x) AS mean, coalesce(nullif(stddev_pop(x), 0), 1) AS scale FROM o, k WHERE observed AND t < a) SELECT node, t, round(x, 6) AS x, observed, round(CASE WHEN observed THEN (x - mean) / scale ELSE 0 END, 6) AS z FROM o, st",
-    "node_mean_fallback": f"{_MEANS} SELECT node, round(mean, 6) AS mean FROM nm",
-    "slot_seasonal_mean": f"{_MEANS} SELECT node, phase, round(mean, 6) AS mean, seen FROM {_phase(DAY)}",
-    "hour_of_week_mean": f"{_MEANS} SELECT node, phase, round(mean, 6) AS mean, seen FROM {_phase(WEEK)}",
+    "node_mean_fallback": f"{_MEANS} SELECT node, round(mean, 9) AS mean FROM nm",
+    "slot_seasonal_mean": f"{_MEANS} SELECT node, phase, round(mean, 9) AS mean, seen FROM {_phase(DAY)}",
+    "hour_of_week_mean": f"{_MEANS} SELECT node, phase, round(mean, 9) AS mean, seen FROM {_phase(WEEK)}",
     "calendar_features": f"""{_SIGNAL}, c AS (SELECT t, ({EPOCH} + t) % 24 / 24 AS d, (({EPOCH} + t) // 24 + 3) % 7 AS wd FROM (SELECT unnest(range(0, n)) AS t FROM k)), st AS (SELECT avg(d) AS m, stddev_pop(d) AS s FROM c, k WHERE t < a)
 SELECT t, round((d - m) / s, 6) AS time_of_day, round(sin(2 * pi() * d), 6) AS sin_day, round(cos(2 * pi() * d), 6) AS cos_day, round(sin(2 * pi() * (wd + d) / 7), 6) AS sin_week, round(cos(2 * pi() * (wd + d) / 7), 6) AS cos_week FROM c, st""",
     "persistence_anchor": f"""{_MEANS}, w AS (SELECT node, unnest(range(a, b - {HORIZON} + 1)) AS start, mean FROM nm, k)
-SELECT node, start, round(coalesce((SELECT max_by(x, t) FROM o WHERE o.node = w.node AND observed AND o.t >= w.start - {HISTORY} AND o.t < w.start), mean), 6) AS anchor FROM w""",
+SELECT node, start, round(coalesce((SELECT max_by(x, t) FROM o WHERE o.node = w.node AND observed AND o.t >= w.start - {HISTORY} AND o.t < w.start), mean), 9) AS anchor FROM w""",
     "baseline_scores": f"{_BASE}, hh AS (SELECT split, e.baseline AS baseline, e.error AS error, unnest([CAST(0 AS BIGINT), h + 1]) AS horizon FROM er) SELECT baseline, split, horizon, count(*) AS targets, round(avg(abs(error)), 6) AS mae, round(sqrt(avg(error ** 2)), 6) AS rmse FROM hh GROUP BY 1, 2, 3",
     "seasonal_floor_scores": f"{_FLOORS} SELECT baseline, CAST(rank AS INT) AS rank, targets, round(mae, 6) AS mae, round(rmse, 6) AS rmse FROM fs WHERE split = 'validation'",
     "seasonal_floor_select": f"{_FLOORS} SELECT baseline, targets, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(CAST(zero_share AS DOUBLE), 6) AS zero_share FROM fs WHERE split = 'test' AND baseline = (SELECT baseline FROM fs WHERE split = 'validation' ORDER BY rmse, mae, rank LIMIT 1)",
