@@ -8,7 +8,7 @@ of 64-bit words of which the words without a bit are left out. The dangling refe
 Everything runs as hash aggregates and windows inside the JVM. A key, however many rows name it, is one row per
 period after the first partial aggregation, so no task holds the rows of a hot key. No pair of rows is ever formed.
 
-Defined cases: null and blank keys are no references and no parents. A reference without period has no valid parent.
+Defined cases: null and blank keys are no references and no parents. A reference without period has no valid parent. Periods are numbers that order as dates do.
 A parent without start or end of validity is never valid. Empty inputs give empty results.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions.text import reference_key
+from loomgrid.session import written
 
 #: Hash buckets of the dictionary: codes are dense within a bucket, and a bucket is sorted by one task.
 DICTIONARY_BUCKETS = 1024
@@ -41,17 +42,10 @@ def parent_rows(frame: DataFrame, domain: str, key: str, start: str, end: str) -
     return frame.select(F.lit(domain).alias("domain"), reference_key(F.col(key).cast("string")).alias("key"), F.col(start).alias("valid_from"), F.col(end).alias("valid_to")).filter("key is not null and valid_from <= valid_to")
 
 
-def _parent_periods(parents: DataFrame, periods: DataFrame) -> DataFrame:
-    """Parents in each of the periods in which they are valid. Periods are dates (YYYYMMDD) and come in blocks of one calendar
-    year, at most 366 of them: the broadcast side grows with the calendar and not with the data."""
-    blocks = periods.filter(F.col("period") != NO_PERIOD).groupBy(F.expr("period div 10000").cast("int").alias("block")).agg(F.collect_set("period").alias("days"))
-    years = F.sequence(F.expr("valid_from div 10000").cast("int"), F.expr("valid_to div 10000").cast("int"))
-    spread = parents.distinct().withColumn("block", F.explode(years))
-    return (
-        spread.join(F.broadcast(blocks), "block")
-        .select("domain", "key", F.explode(F.filter("days", lambda d: (d >= F.col("valid_from")) & (d <= F.col("valid_to")))).alias("period"))
-        .distinct()
-    )
+def _existing(parents: DataFrame, counted: DataFrame) -> DataFrame:
+    """(domain, key, period): the referenced keys in the periods of their references in which a parent of theirs is valid. A key has one row per period here and one per
+    version there, so the join is as large as the references are varied; neither validity ranges nor parents that nothing names are spread out."""
+    return counted.select("domain", "key", "period").join(parents.distinct(), ["domain", "key"]).filter("period between valid_from and valid_to").select("domain", "key", "period").distinct()
 
 
 def _encode(rows: DataFrame, buckets: int) -> DataFrame:
@@ -67,8 +61,8 @@ def _bit(flag: Column) -> Column:
 
 def dangling(references: DataFrame, parents: DataFrame, buckets: int = DICTIONARY_BUCKETS) -> DataFrame:
     """(domain, key, period, n): keys named by n rows of the period that no parent of the domain valid in it has."""
-    counted = references.groupBy("domain", "key", "period").agg(F.count(F.lit(1)).alias("n"))
-    existing = _parent_periods(parents, counted.select("period").distinct())
+    counted = written(references.groupBy("domain", "key", "period").agg(F.count(F.lit(1)).alias("n")))
+    existing = _existing(parents, counted)
     coded = _encode(counted.withColumn("is_ref", F.lit(True)).unionByName(existing.withColumn("n", F.lit(0).cast("long")).withColumn("is_ref", F.lit(False))), buckets)
     words = (
         coded.groupBy("period", F.shiftright("code", 16).alias("range"), F.expr("cast(shiftright(code, 6) & 1023 as int)").alias("word"))
@@ -87,10 +81,10 @@ def dangling(references: DataFrame, parents: DataFrame, buckets: int = DICTIONAR
     return dictionary.join(codes, ["code", "period"]).select("domain", "key", "period", "n")
 
 
-def dangling_rows(references: DataFrame, orphans: DataFrame, rows: int) -> DataFrame:
-    """The reference rows of dangling keys. Keys named by more than a ten-thousandth of the rows, of which there can be only
-    ten thousand per field, are looked up by broadcast, so that no task gets a hot key's rows; the others by a join on the key."""
-    hot_from = max(10_000, -(-rows // 10_000))
+def dangling_rows(references: DataFrame, orphans: DataFrame) -> DataFrame:
+    """The reference rows of dangling keys. Keys named by more than a ten-thousandth of the rows of all orphans, of which there can be only
+    ten thousand, are looked up by broadcast, so that no task gets a hot key's rows; the others by a join on the key."""
+    hot_from = max(10_000, -(-(orphans.agg(F.sum("n")).first()[0] or 0) // 10_000))
     on = ["domain", "key", "period"]
     hot = F.broadcast(orphans.filter(F.col("n") >= hot_from).select(*on))
     cold = orphans.filter(F.col("n") < hot_from).select(*on)
@@ -101,5 +95,5 @@ def orphan_references(calls: DataFrame, row_id: str, period: str, parents: dict[
     """(rows, orphans). parents: by referring field, the referenced table with its key and its first and last day of validity."""
     references = reference_rows(calls, row_id, list(parents), period)
     held = reduce(DataFrame.unionByName, [parent_rows(t, f, k, a, z) for f, (t, k, a, z) in parents.items()])
-    orphans = dangling(references, held, buckets)
-    return dangling_rows(references, orphans, calls.count()), orphans
+    orphans = written(dangling(references, held, buckets))
+    return dangling_rows(references, orphans), orphans
