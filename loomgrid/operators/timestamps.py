@@ -81,13 +81,14 @@ def valid_date(y: Column, m: Column, d: Column) -> Column:
 
 
 def zone_table(frame: DataFrame, key: str, zone: str) -> DataFrame:
-    """(key, zone): zones by their names in the zone database or as +hh:mm, whatever their spelling; null where no zone is known.
+    """(key, zone): zones by their names in the zone database or as +hh:mm, whatever their spelling; null where no zone is known or a key has several.
     The names are a table of the zone database: some hundred rows, whatever the data."""
     spark = frame.sparkSession
-    known = spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds().toString().strip("[]").split(", ")
-    names = [(n.lower(), n) for n in sorted(known) if n.lower() not in map(str.lower, ABBREVIATIONS)]
-    names += [(a.lower(), f"{'-' if o < 0 else '+'}{abs(o) // 60:02}:{abs(o) % 60:02}") for a, o in ABBREVIATIONS.items() ]
-    by_name = spark.createDataFrame(names, "lower string, name string").dropDuplicates(["lower"])
+    fixed = {a.lower(): f"{'-' if o < 0 else '+'}{abs(o) // 60:02}:{abs(o) % 60:02}" for a, o in ABBREVIATIONS.items()}
+    # the zones that the engine itself knows: only those can be computed with
+    names = spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds().toString().strip("[]").split(", ")
+    known = {n.lower(): n for n in sorted(names)} | fixed
+    by_name = spark.createDataFrame(list(known.items()), "lower string, name string")
     lower = F.lower(stripped(F.col(zone)))
     offset = r"^(?:utc|gmt)?([+-])(\d{1,2})(?::?(\d{2}))?$"
     part = lambda i: F.regexp_extract("lower", offset, i)
@@ -96,7 +97,9 @@ def zone_table(frame: DataFrame, key: str, zone: str) -> DataFrame:
         frame.select(F.col(key), lower.alias("lower"))
         .join(F.broadcast(by_name), "lower", "left")
         .select(key, F.coalesce(F.when(F.col("lower").rlike(offset) & (F.lpad(part(2), 2, "0") <= "14"), F.concat(part(1), F.lpad(part(2), 2, "0"), F.lit(":"), minutes)), "name").alias("zone"))
-        .dropDuplicates([key])
+        .groupBy(key)
+        .agg(F.count_distinct("zone").alias("n"), F.max("zone").alias("zone"))
+        .select(key, F.when(F.col("n") == 1, F.col("zone")).alias("zone"))
     )
 
 
