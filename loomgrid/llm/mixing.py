@@ -5,8 +5,8 @@ with it, divided by the source's target weight; a source may go through its queu
 finish times until the total budget is used up, so sources keep to their weights for as long as their queues last, and what an exhausted source leaves
 is taken by the others in proportion to their weights. The shares reached are reported beside the targets.
 
-Running sums are made in two steps, over ranges and within a range: a source of any size is spread over ``RANGES`` hash ranges, and the final order over as many ranges of
-finish time. No task holds a source or the whole order.
+Running sums are made in two steps, over ranges and within a range: a source of any size is spread over contiguous ranges of its hash, and the final order over as many ranges of
+finish time. Ranges are as many as the rows need (about ``IN_RANGE`` in each); the order is that of the hash alone, so their number changes nothing. No task holds a source or the whole order.
 
 Defined cases: sources compare without outer white space and letter case; documents of sources without a target are left out. Documents without tokens come at no cost
 with their neighbours in the queue. Ties of finish time are settled by source, repeat and document. Null ids are rejected. A source listed twice has the larger repeats and the sum of weights.
@@ -14,14 +14,16 @@ with their neighbours in the queue. Ties of finish time are settled by source, r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions.text import reference_key
 from loomgrid.session import written
 
-#: Ranges of a queue and of the order.
-RANGES = 1024
+#: Rows that a range should have.
+IN_RANGE = 100_000
 
 
 def _targets(targets: DataFrame) -> DataFrame:
@@ -40,21 +42,24 @@ def _virtual_end(supplies: list[tuple[float, float]], budget: float) -> float:
     return time
 
 
-def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, ranges: int = RANGES) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, ranges: int | None = None) -> DataFrame:
     """(source, doc_id, repeat, tokens, finish, upto): the mix in its order of `upto`, the tokens up to and with the record. sizes: doc_id, source, tokens.
     The budget is, unless given, the tokens of all documents of the targets' sources."""
     wanted = _targets(targets)
     # one row per source of the targets' table: a list made by hand
     rows = sizes.filter("doc_id is not null").withColumn("source", reference_key(F.col("source"))).join(F.broadcast(wanted), "source")
-    rows = written(rows.select("source", "doc_id", "tokens", "weight", "repeats", F.xxhash64(F.lit(seed), "doc_id").alias("place")).withColumn("range", F.expr(f"cast(pmod(shiftright(place, 40), {ranges}) as int)")))
+    rows = written(rows.select("source", "doc_id", "tokens", "weight", "repeats", F.xxhash64(F.lit(seed), "doc_id").alias("place")))
+    supplies = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("w"), (F.sum("tokens") * F.max("repeats")).alias("c"), F.sum("tokens").alias("s"), F.max("tokens").alias("longest")).collect()  # one row per target
+    bits = max(6, math.ceil(math.log2(max(sum(r["n"] for r in supplies), 1) / IN_RANGE))) if ranges is None else max(1, math.ceil(math.log2(ranges)))
+    ranges = 1 << bits
+    rows = rows.withColumn("range", F.shiftright("place", 64 - bits).cast("int"))
     in_range = rows.groupBy("source", "range").agg(F.sum("tokens").alias("in_range"))
     base = in_range.select("source", "range", (F.sum("in_range").over(Window.partitionBy("source").orderBy("range")) - F.col("in_range")).alias("base"), F.sum("in_range").over(Window.partitionBy("source")).alias("supply"))
-    supplies = rows.groupBy("source").agg(F.max("weight").alias("w"), (F.sum("tokens") * F.max("repeats")).alias("c"), F.sum("tokens").alias("s"), F.max("tokens").alias("longest")).collect()  # one row per target
     total = budget if budget is not None else sum(r["s"] for r in supplies)
     end = _virtual_end([(r["w"], r["c"]) for r in supplies], float(total))
-    # ranges are at most a 1,024th of a source's rows; the base of each is joined by its own key
+    # a range is a small part of a source; the base of each is joined by its own key
     within = Window.partitionBy("source", "range").orderBy("place", "doc_id")
-    queued = rows.join(F.broadcast(base), ["source", "range"]).withColumn("sum", F.col("base") + F.sum("tokens").over(within))
+    queued = rows.join(base, ["source", "range"]).withColumn("sum", F.col("base") + F.sum("tokens").over(within))
     # a queue lags behind its share by a document at most; what an open source's longest one takes is offered beyond the end
     lag = max((r["longest"] / r["w"] for r in supplies if r["c"] / r["w"] > end), default=0.0)
     slack = end + lag + 2.0 * end / ranges + 1e-9
@@ -66,7 +71,7 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     slots = offered.groupBy("slot").agg(F.sum("tokens").alias("in_slot"))
     start = slots.select("slot", (F.sum("in_slot").over(Window.orderBy("slot")) - F.col("in_slot")).alias("before"))  # a row per range of finish times
     order = Window.partitionBy("slot").orderBy("finish", "source", "repeat", "doc_id")
-    placed = offered.join(F.broadcast(start), "slot").withColumn("upto", F.col("before") + F.sum("tokens").over(order))
+    placed = offered.join(start, "slot").withColumn("upto", F.col("before") + F.sum("tokens").over(order))
     return placed.filter(F.col("upto") <= total).select("source", "doc_id", "repeat", "tokens", "finish", "upto")
 
 
