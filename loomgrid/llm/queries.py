@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.functions.text import reference_key, usable_text
+from loomgrid.functions.text import BLANKS, NO_VALUE, reference_key, usable_text
 from loomgrid.llm.mixing import mix, shares
 from loomgrid.llm.percentiles import combine, percentiles, summarise
 from loomgrid.llm.subjects import subject_areas
@@ -46,14 +46,15 @@ def _headways(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     lanes = table(spark, folder, "trunk_lanes").distinct()
-    wanted = percentiles(_headways(spark, folder), PLACE, [0.5, 0.9])
+    # only pairs of trunk_lanes are asked for
+    wanted = percentiles(_headways(spark, folder).join(lanes, PLACE, "left_semi"), PLACE, [0.5, 0.9])
     pairs = wanted.groupBy(*PLACE).agg(F.max(F.when(F.col("p") == 0.5, F.col("discrete"))).alias("median"), F.max(F.when(F.col("p") == 0.9, F.col("discrete"))).alias("p90"))
-    return pairs.filter("p90 >= 3 * median").join(lanes, PLACE, "left_semi").select(*PLACE)
+    return pairs.filter("p90 >= 3 * median").select(*PLACE)
 
 
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Quartiles, the 90th and the 99th percentile of headways of each station and trunk, interpolated and discrete."""
-    return percentiles(_headways(spark, folder), PLACE, [0.25, 0.5, 0.75, 0.9, 0.99]).select(*PLACE, "size", "p", "discrete", F.round("interpolated", 6).alias("interpolated"))
+    return percentiles(_headways(spark, folder), PLACE, [0.25, 0.5, 0.75, 0.9, 0.99]).select(*PLACE, "size", "p", F.col("discrete").cast("double").alias("discrete"), F.round(F.col("interpolated").cast("double"), 6).alias("interpolated"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,13 +91,15 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_percentiles, p7_ids, p8_mix, p8_shares, p9_found, p9_composition)}
 
-_WORDS = "('', '-', '--', '?', '.', 'n/a', 'na', '#n/a', 'nan', 'nil', 'none', 'null', 'unknown', 'undefined', 'tbd', 'pending', 'missing', 'not available')"
+_QUOTED = lambda text: "'" + text.replace("'", "''") + "'"
+_WORDS = "(" + ", ".join(map(_QUOTED, NO_VALUE)) + ")"
+_CLEAN = lambda c: f"lower(trim({c}, {_QUOTED(BLANKS)}))"
 _RECORDS = f"""
 WITH r AS (SELECT r.*, coalesce(f.trust_rank, 9999999) AS rank,
-  coalesce(lower(trim(vehicle_id)) NOT IN {_WORDS}, false) AS ok_vehicle_id, coalesce(lower(trim(trunk_route_id)) NOT IN {_WORDS}, false) AS ok_trunk_route_id,
-  coalesce(lower(trim(trip_id)) NOT IN {_WORDS}, false) AS ok_trip_id, coalesce(move_timestamp > 0, false) AS ok_move_timestamp,
+  coalesce({_CLEAN('vehicle_id')} NOT IN {_WORDS}, false) AS ok_vehicle_id, coalesce({_CLEAN('trunk_route_id')} NOT IN {_WORDS}, false) AS ok_trunk_route_id,
+  coalesce({_CLEAN('trip_id')} NOT IN {_WORDS}, false) AS ok_trip_id, coalesce(move_timestamp > 0, false) AS ok_move_timestamp,
   count(*) OVER g AS records, min(row_id) OVER g AS first_row_id
-  FROM replay r LEFT JOIN feeds f ON f.feed = r.feed WINDOW g AS (PARTITION BY service_date, route_id, direction_id, start_time, stop_sequence)),
+  FROM replay r LEFT JOIN (SELECT feed, min(trust_rank) AS trust_rank FROM feeds GROUP BY 1) f ON f.feed = r.feed WHERE service_date IS NOT NULL AND route_id IS NOT NULL AND direction_id IS NOT NULL AND start_time IS NOT NULL AND stop_sequence IS NOT NULL WINDOW g AS (PARTITION BY service_date, route_id, direction_id, start_time, stop_sequence)),
 d AS (SELECT * FROM r WHERE records > 1)"""
 
 SQL = {
