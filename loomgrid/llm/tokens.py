@@ -9,7 +9,7 @@ decoded up to the nearest sure boundary on either side and encoded again, over a
 Chunking and encoding run as Arrow batches over whole partitions; deduplication, joins and the concatenation of lists stay in the JVM.
 
 Defined cases: null and empty texts give an empty list. Special tokens in a text are ordinary text. Texts of any length are encoded whole. Repeated texts share all
-their chunks. Rows with the same id, or none, stay separate rows.
+their chunks. Rows with the same id, or none, stay separate rows. Bytes that are no UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -137,7 +137,7 @@ def _encoder(folder: str, name: str):
     def encode(chunks: pd.Series) -> pd.Series:
         e = encoding(folder, name)
         kind, ordinary = _width(e), e._core_bpe.encode_ordinary
-        return pd.Series([np.array(ordinary(x.decode()), kind).tobytes() for x in chunks])
+        return pd.Series([np.array(ordinary(x.decode(errors="replace")), kind).tobytes() for x in chunks])
 
     return encode
 
@@ -228,7 +228,7 @@ def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoding(folder, name)
         for b in batches:
-            n = [len(e._core_bpe.encode_ordinary(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
+            n = [len(e._core_bpe.encode_ordinary(t.decode(errors="replace"))) if t else 0 for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*b.schema.names[:-1], "tokens"])
 
     ship(documents.sparkSession)
