@@ -61,14 +61,14 @@ MEASURES = (
 )
 
 
-def _majority(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """The most frequent value of each key, the smallest of equally frequent ones."""
-    return rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.min(F.struct(-F.col("n"), F.col(value).alias("v"))).alias("m")).select(*by, F.col("m.v").alias(name))
+def _majority(counted: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """The most frequent value of each key, the smallest of equally frequent ones. counted: rows with their number n."""
+    return counted.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.min(F.struct(-F.col("n"), F.col(value).alias("v"))).alias("m")).select(*by, F.col("m.v").alias(name))
 
 
-def _served(rows: DataFrame) -> DataFrame:
+def _served(counted: DataFrame) -> DataFrame:
     """The trunks that a route serves: those of a fair share of its rows."""
-    each = rows.filter("route_id is not null and own_trunk is not null").groupBy("route_id", "own_trunk").agg(F.count(F.lit(1)).alias("n"))
+    each = counted.filter("route_id is not null and own_trunk is not null").groupBy("route_id", "own_trunk").agg(F.sum("n").alias("n"))
     return each.withColumn("all", F.sum("n").over(Window.partitionBy("route_id"))).filter(F.col("n") >= SERVED * F.col("all")).select("route_id", "own_trunk", F.lit(True).alias("served"))
 
 
@@ -82,11 +82,13 @@ def prepared(replay: DataFrame) -> DataFrame:
         F.coalesce(F.when(F.col("stop_timestamp") > 0, F.col("stop_timestamp")), F.when(F.col("move_timestamp") > 0, F.col("move_timestamp"))).alias("at"),
         *[m.name for m in MEASURES],
     )
-    # stops and routes are places: their number doesn't grow with the rows, and the joins below are left to the optimiser
-    rows = rows.join(_majority(rows, ["stop"], "own_station", "usual_station"), "stop", "left")
-    rows = rows.join(_majority(rows, ["route_id"], "own_trunk", "usual_trunk"), "route_id", "left")
-    rows = rows.join(_served(rows), ["route_id", "own_trunk"], "left")
-    rows = rows.join(_majority(rows, trip, "own_vehicle", "usual_vehicle"), trip, "left")
+    # stops and routes are places: one count of their combinations gives what is usual for each; the joins are left to the optimiser
+    places = written(rows.groupBy("stop", "own_station", "route_id", "own_trunk").agg(F.count(F.lit(1)).alias("n")))
+    vehicles = rows.groupBy(*trip, "own_vehicle").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(_majority(places, ["stop"], "own_station", "usual_station"), "stop", "left")
+    rows = rows.join(_majority(places, ["route_id"], "own_trunk", "usual_trunk"), "route_id", "left")
+    rows = rows.join(_served(places), ["route_id", "own_trunk"], "left")
+    rows = rows.join(_majority(vehicles, trip, "own_vehicle", "usual_vehicle"), trip, "left")
     return rows.select(
         "row_id", *trip, "stop_sequence", "stop", F.coalesce("own_station", "usual_station").alias("station"),
         # the route tells the trunk more surely than a word written by hand
@@ -186,7 +188,9 @@ def cutoffs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def spikes(rows: DataFrame) -> DataFrame:
     levels, seasons = cutoffs(rows)
-    judged = rows.filter("bin is not null").join(F.broadcast(levels), ["field", "source"]).join(seasons, ["field", "source", "hour"])
+    # one row for each source and hour: the rows are joined once, by a key that spreads a source over its hours
+    limits = written(seasons.join(levels, ["field", "source"]))
+    judged = rows.filter("bin is not null").join(limits, ["field", "source", "hour"])
     few = F.col("level_size") < FEW
     level = F.col("bin") - F.when(few, F.col("level_mid")).otherwise(F.lit(0))
     above, below = [F.col("bin") - F.when(few, F.col("season")).otherwise(F.col(c)) for c in ("season_high", "season_low")]
