@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.functions.text import BLANKS
 from loomgrid.operators.grid import regular_series
 from loomgrid.operators.orphans import orphan_references
 from loomgrid.operators.spikes import implausible
-from loomgrid.operators.timestamps import call_times, received_times, zone_table
+from loomgrid.operators.timestamps import ABBREVIATIONS, call_times, received_times, zone_table
 from loomgrid.session import table
 
 VALIDITY = ("gtfs_active_date", "gtfs_end_date")
@@ -69,7 +70,57 @@ s AS (SELECT service_date, parent_station, direction_id, min(period_start) AS a,
 g AS (SELECT service_date, parent_station, direction_id, unnest(range(a, z + 300, 300)) AS period_start FROM s),
 j AS (SELECT g.*, b.readings, b.last_reading FROM g LEFT JOIN b USING (service_date, parent_station, direction_id, period_start))"""
 
+_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
+_ZONE = r"(?:\s*(Z|[+-]\d{2}:?(?:\d{2})?|(?:UTC|GMT)[+-]\d{1,2}(?::?\d{2})?|[A-Z]{2,5}))?"
+_PARTS = {
+    "e4": (r"(\d{4})-(\d{2})-(\d{2})(?:T|\s+)" + _CLOCK + _ZONE, "y o d h m s f z"), "e5": (r"(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})" + _ZONE, "y o d h m s z"),
+    "e6": (r"(\d{1,2})[.](\d{1,2})[.](\d{4})\s+" + _CLOCK + _ZONE, "d o y h m s f z"), "e7": (r"(\d{1,2})/(\d{1,2})/(\d{4})\s+" + _CLOCK + r"(?:\s*([AP])[.]?M[.]?)?" + _ZONE, "o d y h m s f p z"),
+    "e8": (r"(?:[A-Z]{3},\s*)?(\d{1,2})\s+([A-Z]{3})\s+(\d{4})\s+" + _CLOCK + _ZONE, "d n y h m s f z"), "e9": (_CLOCK + r"(?:\s*([AP])[.]?M[.]?)?(?:[+](\d))?", "h m s f p x"),
+    "e10": (r"(\d{1,2})[.](\d{2})(?:[.](\d{2}))?", "h m s"), "e1": (r"(\d{10}|\d{13}|\d{16}|\d{19})", "e"), "e2": (r"(\d{10})[.](\d{1,9})", "e ef"), "e3": (r"(\d{1,9})", "b"),
+    "e11": (r"(P)(?:(\d{1,3})D)?(?:T(?:(\d{1,4})H)?(?:(\d{1,6})M)?(?:(\d{1,8})S)?)?", "pt dd dh dm ds"),
+}
+
+
+def _off(u: str) -> str:
+    return f"(CASE WHEN fixed IS NOT NULL THEN fixed ELSE CAST(epoch(timezone(zone, to_timestamp({u}))) AS BIGINT) - ({u}) END)"
+
+
+def _instant(local: str) -> str:
+    """The one instant of a local second; null if there is none or more than one."""
+    a, z = f"({local} - {_off(f'{local} - 86400')})", f"({local} - {_off(f'{local} + 86400')})"
+    fits = lambda u: f"({u} + {_off(u)} = {local})"
+    return f"CASE WHEN {a} = {z} THEN CASE WHEN {fits(a)} THEN {a} END WHEN {fits(a)} AND {fits(z)} THEN NULL WHEN {fits(a)} THEN {a} WHEN {fits(z)} THEN {z} END"
+
+
+def _times() -> str:
+    extract = ", ".join(f"regexp_extract(v, '(?i)^{p}$', [{', '.join(repr(n) for n in names.split())}]) AS {e}" for e, (p, names) in _PARTS.items())
+    every = sorted({n for _, names in _PARTS.values() for n in names.split()})
+    joined = ", ".join(f"nullif({' || '.join(f'{e}.{n}' for e, (_, names) in _PARTS.items() if n in names.split())}, '') AS {n}" for n in every)
+    blanks = "'" + BLANKS.replace("'", "''") + "'"
+    short = ", ".join(f"('{a}', {o * 60})" for a, o in ABBREVIATIONS.items())
+    digits = "CASE WHEN length(zd) <= 2 THEN lpad(zd, 2, '0') || '00' ELSE lpad(zd, 4, '0') END"
+    return rf"""WITH ab AS (SELECT * FROM (VALUES {short}) a(name, seconds)), zn AS (SELECT lower(name) AS l, min(name) AS name FROM pg_timezone_names() GROUP BY 1),
+mz AS (SELECT manifest_id, lower(trim(extraction.timezone, {blanks})) AS l FROM manifest), mo AS (SELECT *, regexp_extract(l, '^(?:utc|gmt)?([+-])(\d{{1,2}})(?::?(\d{{2}}))?$', ['g', 'h', 'm']) AS o FROM mz),
+mf AS (SELECT manifest_id, CASE WHEN o.g <> '' AND CAST(o.h AS INT) <= 14 THEN (CAST(o.h AS INT) * 3600 + coalesce(TRY_CAST(o.m AS INT), 0) * 60) * CASE o.g WHEN '-' THEN -1 ELSE 1 END ELSE ab.seconds END AS fixed, zn.name AS zone FROM mo LEFT JOIN ab ON lower(ab.name) = l LEFT JOIN zn USING (l)),
+t AS (SELECT 'received' AS record_kind, raw_id AS record_id, 'stop_timestamp' AS field_name, stop_timestamp AS v, service_date AS day, manifest_id FROM replay_received WHERE NOT regexp_full_match(stop_timestamp, '[0-9]{{10}}')
+UNION ALL SELECT 'call', call_id, 'arrival_time', arrival_time, gtfs_active_date, manifest_id FROM schedule_calls WHERE NOT regexp_full_match(arrival_time, '[0-9]{{2}}:[0-5][0-9]:[0-5][0-9]')
+UNION ALL SELECT 'call', call_id, 'departure_time', departure_time, gtfs_active_date, manifest_id FROM schedule_calls WHERE NOT regexp_full_match(departure_time, '[0-9]{{2}}:[0-5][0-9]:[0-5][0-9]')),
+s AS (SELECT record_kind, record_id, field_name, trim(v, {blanks}) AS v, TRY_CAST(strptime(CAST(day AS VARCHAR), '%Y%m%d') AS DATE) AS day, fixed, zone FROM t LEFT JOIN mf USING (manifest_id) WHERE trim(v, {blanks}) <> ''),
+x AS (SELECT record_kind, record_id, field_name, day, fixed, zone, {extract} FROM s), c AS (SELECT record_kind, record_id, field_name, day, fixed, zone, {joined} FROM x),
+n AS (SELECT *, coalesce(o, lpad(CAST(nullif(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(n)), 0) AS VARCHAR), 2, '0')) AS mon, upper(z) AS zu, regexp_replace(z, '[^0-9]', '', 'g') AS zd, CAST(m AS INT) AS mi, coalesce(CAST(s AS INT), 0) AS se,
+  CASE WHEN p IS NULL THEN CAST(h AS INT) WHEN CAST(h AS INT) BETWEEN 1 AND 12 THEN CAST(h AS INT) % 12 + CASE upper(p) WHEN 'P' THEN 12 ELSE 0 END END AS ho, coalesce(CAST(rpad(substr(coalesce(ef, f), 1, 6), 6, '0') AS BIGINT), 0) AS micro FROM c),
+g AS (SELECT *, CASE WHEN mi < 60 AND se < 60 THEN ho * 3600 + mi * 60 + se END AS hms, CASE WHEN CAST(y AS INT) >= 1 AND ho < 24 THEN TRY_CAST(y || '-' || lpad(mon, 2, '0') || '-' || lpad(d, 2, '0') AS DATE) END AS dt, (day - DATE '1970-01-01') * 86400 + 43200 AS noon,
+  CASE WHEN zd <> '' THEN CASE WHEN CAST(substr({digits}, 1, 2) AS INT) <= 18 AND CAST(substr({digits}, 3, 2) AS INT) < 60 THEN (CAST(substr({digits}, 1, 2) AS INT) * 3600 + CAST(substr({digits}, 3, 2) AS INT) * 60) * CASE WHEN contains(z, '-') THEN -1 ELSE 1 END END ELSE (SELECT seconds FROM ab WHERE ab.name = zu) END AS zoff FROM n),
+l AS (SELECT *, (dt - DATE '1970-01-01') * 86400 + hms AS local FROM g),
+i AS (SELECT *, CASE WHEN z IS NULL THEN {_instant('local')} ELSE local - zoff END AS found, {_instant('noon')} AS midday, CASE length(e) WHEN 10 THEN CAST(e AS BIGINT) * 1000000 WHEN 13 THEN CAST(e AS BIGINT) * 1000 WHEN 16 THEN CAST(e AS BIGINT) WHEN 19 THEN CAST(CAST(e AS HUGEINT) // 1000 AS BIGINT) END + CASE WHEN ef IS NULL THEN 0 ELSE micro END AS epoch_micros,
+  coalesce(CASE WHEN y IS NULL AND ((x IS NULL AND p IS NULL) OR ho < 24) THEN hms + coalesce(CAST(x AS INT), 0) * 86400 END, CASE WHEN pt IS NOT NULL AND coalesce(dd, dh, dm, ds) IS NOT NULL THEN coalesce(CAST(dd AS BIGINT), 0) * 86400 + coalesce(CAST(dh AS BIGINT), 0) * 3600 + coalesce(CAST(dm AS BIGINT), 0) * 60 + coalesce(CAST(ds AS BIGINT), 0) END) AS clock FROM l),
+r AS (SELECT *, coalesce(epoch_micros, found * 1000000 + micro) AS micros FROM i)
+SELECT record_kind, record_id, field_name, CAST(coalesce(CASE record_kind WHEN 'received' THEN coalesce(micros, (midday - 43200 + clock) * 1000000 + CASE WHEN y IS NULL AND f IS NOT NULL THEN micro ELSE 0 END)
+  ELSE coalesce(CAST(floor(micros / 1000000) AS BIGINT) - midday + 43200, clock, CASE WHEN length(b) = 6 THEN CASE WHEN substr(b, 3, 2) < '60' AND substr(b, 5, 2) < '60' THEN CAST(substr(b, 1, 2) AS BIGINT) * 3600 + CAST(substr(b, 3, 2) AS BIGINT) * 60 + CAST(substr(b, 5, 2) AS BIGINT) END WHEN length(b) < 6 THEN CAST(b AS BIGINT) END) END, -1) AS BIGINT) AS norm_value FROM r"""
+
+
 SQL = {
+    "p3_found": _times(),
     "p1_found": f"SELECT call_id, ref_field FROM ({_DANGLING})",
     "p1_report": f"""SELECT CASE ref_field WHEN 'trip_id' THEN 'schedule_trips' ELSE 'schedule_stops' END AS parent_table, gtfs_active_date,
 count(DISTINCT ref) AS missing_ids, count(*) AS dangling_calls FROM ({_DANGLING}) GROUP BY ALL""",
