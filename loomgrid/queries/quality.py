@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.functions.text import BLANKS
+from loomgrid.functions.text import BLANKS, NO_VALUE
 from loomgrid.operators.grid import regular_series
 from loomgrid.operators.orphans import orphan_references
-from loomgrid.operators.spikes import implausible
+from loomgrid.operators.spikes import _TAIL, BINS, FEW, MARGIN, MARKS, MEASURES, RISK, SCALES_DIFFER, SERVED, SHAPES_DIFFER, implausible
 from loomgrid.operators.timestamps import ABBREVIATIONS, call_times, received_times, zone_table
 from loomgrid.session import table
 
@@ -119,7 +121,80 @@ SELECT record_kind, record_id, field_name, CAST(coalesce(CASE record_kind WHEN '
   ELSE coalesce(CAST(floor(micros / 1000000) AS BIGINT) - midday + 43200, clock, CASE WHEN length(b) = 6 THEN CASE WHEN substr(b, 3, 2) < '60' AND substr(b, 5, 2) < '60' THEN CAST(substr(b, 1, 2) AS BIGINT) * 3600 + CAST(substr(b, 3, 2) AS BIGINT) * 60 + CAST(substr(b, 5, 2) AS BIGINT) END WHEN length(b) < 6 THEN CAST(b AS BIGINT) END) END, -1) AS BIGINT) AS norm_value FROM r"""
 
 
+def _bins_at(p: float, step: str | None) -> str:
+    """The bin, or the place within its step, that a share of the values reaches."""
+    place = "bin" if step is None or p == 0.5 else f"bin + 1.0::DOUBLE * {step} * (({p!r}::DOUBLE * alln - upto + n) / n - 0.5::DOUBLE)"
+    return f"arg_min({place}, bin) FILTER (WHERE upto >= ceil({p!r}::DOUBLE * alln))"
+
+
+def _quantiles(of: str, by: str, at: dict[str, float], step: str | None) -> str:
+    return f"(SELECT {by}, max(alln) AS size, {', '.join(f'{_bins_at(p, step)} AS {n}' for n, p in at.items())} FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}) AS alln FROM {of}) GROUP BY {by})"
+
+
+def _shapes(of: str) -> str:
+    apart = lambda a, b: f"greatest(abs({a} - {b}), 0.25::DOUBLE)"
+    each = ", ".join(f"{apart(f'{t}1', f'{t}2')} AS {t}_near, ln({apart(f'{t}1', f'{t}3')}) AS {t}_scale, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, log2({apart(f'{t}3', f'{t}4')} / {apart(f'{t}1', f'{t}2')}) / 2)) AS {t}_shape" for t in "lh")
+    return f"(SELECT *, {each} FROM {of})"
+
+
+def _usual(of: str) -> str:
+    return f"(SELECT field, {', '.join(f'quantile_cont({t}_{c}, 0.5) AS {t}_usual_{c}' for t in 'lh' for c in ('shape', 'scale'))} FROM {of}, range(CAST(size AS BIGINT)) WHERE size >= {FEW} GROUP BY 1)"
+
+
+def _cutoff(t: str, step: str) -> str:
+    coarse = lambda width: f"pow(1.0::DOUBLE * {step} / {width}, 2)"
+    drawn = lambda c, own: f"({own} * {t}_{c} + (1 - {own}) * coalesce({t}_usual_{c}, {t}_{c}))"
+    own_shape = f"({SHAPES_DIFFER**2!r}::DOUBLE / ({SHAPES_DIFFER**2!r}::DOUBLE + 54.0::DOUBLE / size + 0.17::DOUBLE * {coarse(f'{t}_near')}))"
+    shape = f"least(-0.01::DOUBLE, greatest(-0.5::DOUBLE, {drawn('shape', own_shape)}))"
+    error = f"(15.6::DOUBLE / size + {coarse(f'exp({t}_scale)')} / 6)"
+    own_scale = f"({SCALES_DIFFER**2!r}::DOUBLE / ({SCALES_DIFFER**2!r}::DOUBLE + {error}))"
+    scale = f"exp(greatest({t}_scale, {drawn('scale', own_scale)} + {MARGIN!r}::DOUBLE * sqrt({own_scale} * {error})))"
+    grown = lambda k: f"(exp({shape} * {k!r}::DOUBLE) - 1)"
+    return f"{t}1 {'+' if t == 'h' else '-'} {scale} * {grown(math.log(0.1 / RISK))} / {grown(math.log(4.0))}"
+
+
+def _cutoffs(of: str, usual: str, step: str, keys: str, names: dict[str, str]) -> str:
+    return f"(SELECT {keys}, size, mid, {', '.join(f'{_cutoff(t, step)} AS {n}' for t, n in names.items())} FROM {of} LEFT JOIN {usual} USING (field))"
+
+
+def _spikes() -> str:
+    blanks, words = "'" + BLANKS.replace("'", "''") + "'", "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in NO_VALUE) + ")"
+    word = lambda c: f"CASE WHEN lower(trim({c}, {blanks})) NOT IN {words} THEN upper(trim({c}, {blanks})) END"
+    usual = lambda by, v, name: f"(SELECT {by}, arg_min({v}, (-n, {v})) AS {name} FROM (SELECT {by}, {v}, count(*) AS n FROM w WHERE {v} IS NOT NULL GROUP BY {by}, {v}) GROUP BY {by})"
+    trip, call = "service_date, route_id, direction_id, start_time", "service_date, vehicle, field, route_id, direction_id, start_time, stop_sequence"
+    column = {"stop": "stop", "station": "station", "trunk": "trunk", "direction_id": "CAST(direction_id AS VARCHAR)"}
+    fields = ", ".join(f"{{'field': '{m.name}', 'source': concat_ws(chr(1), {', '.join(f'coalesce({column[c]}, chr(2))' for c in m.source)}), 'value': {m.name}, 'bad': {m.name} <= {m.at_most_impossible} OR {m.name} > {m.most} OR {m.name} IN ({', '.join(map(str, MARKS))})}}" for m in MEASURES)
+    law = lambda threshold, by: _shapes(_quantiles(f"(SELECT {by}, bin - {threshold} AS bin, sum(n) AS n FROM us GROUP BY {by}, bin - {threshold})", by, _TAIL, "1.0::DOUBLE"))
+    step = "greatest(1.0::DOUBLE, {0} / exp({1} / {0}))".format(f"{float(BINS)!r}::DOUBLE", "{}")
+    same = " AND ".join(f"k.{c} IS NOT DISTINCT FROM z.{c}" for c in [*call.split(", "), "value"])
+    return f"""WITH w AS (SELECT row_id, {trip}, stop_sequence, {word('stop_id')} AS stop, {word('parent_station')} AS own_station, regexp_replace({word('trunk_route_id')}, '^T-', '') AS own_trunk, regexp_replace({word('vehicle_id')}, '[^A-Z0-9]', '', 'g') AS own_vehicle,
+  coalesce(CASE WHEN stop_timestamp > 0 THEN stop_timestamp END, CASE WHEN move_timestamp > 0 THEN move_timestamp END) AS seen, {', '.join(m.name for m in MEASURES)} FROM replay),
+sv AS (SELECT route_id, own_trunk, true AS served FROM (SELECT route_id, own_trunk, count(*) AS n FROM w WHERE route_id IS NOT NULL AND own_trunk IS NOT NULL GROUP BY 1, 2) QUALIFY n >= {SERVED!r}::DOUBLE * sum(n) OVER (PARTITION BY route_id)),
+pr AS (SELECT row_id, {trip}, stop_sequence, seen, stop, coalesce(own_station, usual_station) AS station, coalesce(CASE WHEN served THEN own_trunk END, usual_trunk, own_trunk) AS trunk, coalesce(usual_vehicle, own_vehicle) AS vehicle, {', '.join(m.name for m in MEASURES)}
+  FROM w LEFT JOIN {usual('stop', 'own_station', 'usual_station')} USING (stop) LEFT JOIN {usual('route_id', 'own_trunk', 'usual_trunk')} USING (route_id) LEFT JOIN sv USING (route_id, own_trunk) LEFT JOIN {usual(trip, 'own_vehicle', 'usual_vehicle')} USING ({trip})),
+lo AS (SELECT row_id, {trip}, stop_sequence, vehicle, coalesce(seen // 3600 % 24, -1) AS hour, e.field AS field, e.source AS source, e.value AS value, e.bad AS bad, CASE WHEN NOT e.bad THEN CAST(round(ln(greatest(e.value, 1) + 1.0::DOUBLE) * {BINS}) AS BIGINT) END AS bin
+  FROM (SELECT *, unnest([{fields}]) AS e FROM pr) WHERE e.value IS NOT NULL),
+bi AS (SELECT field, source, hour, bin, count(*) AS n FROM lo WHERE bin IS NOT NULL GROUP BY ALL),
+sh AS (SELECT * FROM {_shapes(_quantiles('(SELECT field, source, bin, sum(n) AS n FROM bi GROUP BY ALL)', 'field, source', _TAIL, step.format('bin')))}),
+lv AS (SELECT * FROM {_cutoffs('sh', _usual('sh'), step.format('mid'), 'field, source', {'l': 'level_low', 'h': 'level_high'})}),
+se AS (SELECT q.field, q.source, q.hour, CASE WHEN q.size >= {FEW} THEN q.low ELSE CAST(round(sh.l1) AS BIGINT) END AS season_low, CASE WHEN q.size >= {FEW} THEN q.middle ELSE CAST(round(sh.mid) AS BIGINT) END AS season, CASE WHEN q.size >= {FEW} THEN q.high ELSE CAST(round(sh.h1) AS BIGINT) END AS season_high
+  FROM {_quantiles('bi', 'field, source, hour', {'low': 0.1, 'middle': 0.5, 'high': 0.9}, None)} q JOIN sh ON sh.field = q.field AND sh.source = q.source),
+us AS (SELECT bi.*, season_low, season, season_high FROM bi JOIN se USING (field, source, hour)), ol AS (SELECT * FROM {law('season_low', 'field, source')}), oh AS (SELECT * FROM {law('season_high', 'field, source')}), op AS (SELECT * FROM {law('season', 'field')}),
+rl AS (SELECT * FROM {_cutoffs('ol', _usual('ol'), '1.0::DOUBLE', 'field, source', {'l': 'residual_low'})}), rh AS (SELECT * FROM {_cutoffs('oh', _usual('oh'), '1.0::DOUBLE', 'field, source', {'h': 'residual_high'})}), po AS (SELECT * FROM {_cutoffs('op', _usual('sh'), '1.0::DOUBLE', 'field', {'l': 'pooled_low', 'h': 'pooled_high'})}),
+ju AS (SELECT row_id, lo.field, bin, lv.size >= {FEW} AS own, bin - CASE WHEN lv.size < {FEW} THEN lv.mid ELSE 0 END AS level, bin - CASE WHEN lv.size < {FEW} THEN season ELSE season_high END AS above, bin - CASE WHEN lv.size < {FEW} THEN season ELSE season_low END AS below, level_low, level_high, residual_low, residual_high, pooled_low, pooled_high
+  FROM lo JOIN se USING (field, source, hour) JOIN lv USING (field, source) JOIN rl USING (field, source) JOIN rh USING (field, source) JOIN po ON po.field = lo.field WHERE bin IS NOT NULL),
+sp AS (SELECT row_id, field FROM ju WHERE (level > CASE WHEN own THEN level_high ELSE pooled_high END AND above > CASE WHEN own THEN residual_high ELSE pooled_high END) OR (level < CASE WHEN own THEN level_low ELSE pooled_low END AND below < CASE WHEN own THEN residual_low ELSE pooled_low END)),
+ca AS (SELECT DISTINCT {call}, value FROM lo WHERE vehicle IS NOT NULL), or1 AS (SELECT *, lag(value) OVER o AS before, lead(value) OVER o AS after, row_number() OVER o AS k FROM ca WINDOW o AS (PARTITION BY service_date, vehicle, field ORDER BY start_time NULLS FIRST, route_id NULLS FIRST, direction_id NULLS FIRST, stop_sequence NULLS FIRST, value)),
+or2 AS (SELECT *, CASE WHEN before IS NOT DISTINCT FROM value THEN 0 ELSE 1 END AS new FROM or1), or3 AS (SELECT *, sum(new) OVER (PARTITION BY service_date, vehicle, field ORDER BY k) AS run FROM or2), or4 AS (SELECT *, count(*) OVER (PARTITION BY service_date, vehicle, field, run) AS length FROM or3),
+ch AS (SELECT field, 1 + ceil({math.log(RISK)!r}::DOUBLE / ln(least(greatest(count(*) FILTER (WHERE new = 1 AND after = value) / nullif(count(*) FILTER (WHERE new = 1 AND after IS NOT NULL), 0), 0.002::DOUBLE), 0.9::DOUBLE))) AS least_run FROM or4 GROUP BY 1),
+lr AS (SELECT or4.* FROM or4 JOIN ch USING (field) WHERE length >= greatest(least_run, 5)),
+st AS (SELECT k.row_id, k.field FROM lo k WHERE vehicle IS NOT NULL AND EXISTS (SELECT 1 FROM lr z WHERE {same})),
+fo AS (SELECT row_id, field AS field_name, min(reason) AS reason FROM (SELECT row_id, field, 'impossible' AS reason FROM lo WHERE bad UNION ALL SELECT *, 'spike' FROM sp UNION ALL SELECT *, 'stuck' FROM st) GROUP BY 1, 2)"""
+
+
 SQL = {
+    "p2_found": _spikes() + " SELECT row_id, field_name FROM fo",
+    "p2_reasons": _spikes() + " SELECT field_name, reason, count(*) AS n FROM fo GROUP BY 1, 2",
     "p3_found": _times(),
     "p1_found": f"SELECT call_id, ref_field FROM ({_DANGLING})",
     "p1_report": f"""SELECT CASE ref_field WHEN 'trip_id' THEN 'schedule_trips' ELSE 'schedule_stops' END AS parent_table, gtfs_active_date,
