@@ -203,8 +203,9 @@ def stuck(rows: DataFrame) -> DataFrame:
     """Rows whose value is part of a run that is too long for chance."""
     call = ["service_date", "vehicle", "field", "route_id", "direction_id", "start_time", "stop_sequence"]
     known = rows.filter("vehicle is not null")
-    calls = known.select(*call, "value").distinct()
     lane = ["service_date", "vehicle", "field"]
+    # one exchange by lane serves the distinct calls and both windows; a lane is a vehicle's day
+    calls = known.select(*call, "value").repartition(*lane).distinct()
     order = Window.partitionBy(*lane).orderBy("start_time", "route_id", "direction_id", "stop_sequence", "value")
     marked = calls.withColumn("before", F.lag("value").over(order)).withColumn("after", F.lead("value").over(order)).withColumn("new", F.when(F.col("before").eqNullSafe(F.col("value")), 0).otherwise(1))
     runs = marked.withColumn("run", F.sum("new").over(order))
@@ -222,7 +223,7 @@ def stuck(rows: DataFrame) -> DataFrame:
 
 def implausible(replay: DataFrame) -> DataFrame:
     """(row_id, field_name, reason): every value that is impossible, a spike or stuck."""
-    rows = _long(written(prepared(replay)))
+    rows = written(_long(prepared(replay)))
     found = [rows.filter("impossible").withColumn("reason", F.lit("impossible")), spikes(rows).withColumn("reason", F.lit("spike")), stuck(rows).withColumn("reason", F.lit("stuck"))]
     out = found[0].select("row_id", "field", "reason")
     for f in found[1:]:
