@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.functions.exact import order_free_sums
+from loomgrid.functions.single import with_row
 
 Names = Sequence[str]
 
@@ -89,12 +90,11 @@ class MeshGraph:
         return self._onto_nodes(sent, values, lanes, self._in_lanes(field, lanes)).groupBy(*lanes, "node").agg(*[F.sum(v).alias(v) for v in values])
 
     def _in_lanes(self, field: DataFrame, lanes: Names) -> DataFrame | None:
-        """The nodes in each lane of an edge field, spread from one row per lane."""
+        """Every node once in each lane of an edge field: the list of lanes (times, windows) is one row, the nodes are spread where they lie."""
         if not lanes:
             return None
-        every = self.nodes.groupBy(F.pmod(F.xxhash64("node"), F.lit(1024)).alias("_b")).agg(F.collect_list("node").alias("_nodes"))
-        slots = field.select(*lanes).distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(1023))))
-        return slots.join(every, slots["_b"] == every["_b"]).select(*lanes, F.explode("_nodes").alias("node"))
+        slots = field.agg(F.collect_set(F.struct(*lanes)).alias("_lanes"))
+        return with_row(self.nodes.select("node"), slots).select("node", F.explode("_lanes").alias("_l")).select(*[F.col(f"_l.{c}").alias(c) for c in lanes], "node")
 
     def edge_values(self, field: DataFrame, values: Names, endpoint: str, lanes: Names = ()) -> DataFrame:
         """The field at one endpoint of each edge."""

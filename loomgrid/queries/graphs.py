@@ -299,6 +299,17 @@ def _tgcn_sql(scale: float, name: str) -> str:
     return f"(1 - {_sig(f'{z[0]} * 0.5::DOUBLE + 0.1::DOUBLE')}) * tanh({z[2]} * 0.7::DOUBLE + 0.05::DOUBLE) AS {name}"
 
 
+def _tgcn_fold_sql() -> str:
+    """Three steps of the cell on the normalised sums."""
+    steps, h = [], "0.0::DOUBLE"
+    for t in range(3):
+        z = [_row([f"y0 * {1 + 0.5 * t!r}::DOUBLE", f"y1 * {1 + 0.5 * t!r}::DOUBLE"], w) for w in ((0.5, -0.25), (0.125, 0.75), (-0.4, 0.6))]
+        u, r = _sig(f"{z[0]} * 0.5::DOUBLE - {h} * 0.3::DOUBLE + 0.1::DOUBLE"), _sig(f"{z[1]} * 0.2::DOUBLE + {h} * 0.4::DOUBLE - 0.1::DOUBLE")
+        steps.append(f"s{t} AS (SELECT *, {u} * {h} + (1 - {u}) * tanh({z[2]} * 0.7::DOUBLE + {h} * {r} * 0.3::DOUBLE + 0.05::DOUBLE) AS h{t} FROM {'g' if t == 0 else f's{t - 1}'})")
+        h = f"h{t}"
+    return f"{_GCN}, {', '.join(steps)} SELECT node, round(h2, 6) AS h0 FROM s2"
+
+
 def _attention() -> str:
     from loomgrid.functions.dense import softmax_weights
 
@@ -370,6 +381,7 @@ SELECT n.node, round(coalesce(fw.y, 0), 6) AS f0, round(coalesce(rv.y, 0), 6) AS
     "gat_layer": _gat_sql(),
     "cheb_layer": _cheb_sql(),
     "tgcn_step": f"{_GCN}, h AS (SELECT node, {_tgcn_sql(1.0, 'h')} FROM g) SELECT node, round(h, 6) AS h0 FROM h",
+    "tgcn_fold": _tgcn_fold_sql(),
     "a3tgcn_attention": f"{_GCN}, h AS (SELECT node, {', '.join(_tgcn_sql(1 + 0.5 * t, f'h{t}') for t in range(3))} FROM g) SELECT node, round({_attention()}, 6) AS h0 FROM h",
 }
 

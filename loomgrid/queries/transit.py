@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgrid.session import table, written
 from loomgrid.transit import event_mesh as M
 from loomgrid.transit import population as P
+from loomgrid.transit import replay as RP
 from loomgrid.transit import schedule as S
 from loomgrid.transit import transition as T
 
@@ -164,6 +165,29 @@ def replay_missingness(spark: SparkSession, folder: str) -> DataFrame:
     return M.missingness(_replay(spark, folder), ["move_timestamp", "stop_timestamp", "travel_time_seconds", "dwell_time_seconds", "headway_trunk_seconds", "vehicle_id", "stop_id"])
 
 
+def _plans(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, f"schedule_{n}") for n in ("trips", "calls", "stops")]
+
+
+def replay_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows of each table belong to the calls of the busiest hour."""
+    middle = _busiest(spark, folder)
+    parts = RP.extract(_replay(spark, folder), *_plans(spark, folder), middle - 1800, middle + 1800)
+    out = [f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t, f in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+def replay_expectations(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the observed calls break each rule, over the busiest day's interval."""
+    middle = _busiest(spark, folder)
+    return RP.violations(_replay(spark, folder), *_plans(spark, folder), middle - 43_200, middle + 43_200).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def graph_version(spark: SparkSession, folder: str) -> DataFrame:
+    """A hash of the planned segments, the same in any order of rows."""
+    return T.fingerprint(segments(spark, folder).select("route_id", "from_stop_id", "to_stop_id", "occurrences"))
+
+
 # -- schedule and transitions -----------------------------------------------------------------------------------------------
 
 
@@ -171,7 +195,7 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
     """Neighbouring stops of each route and how often trips use them, over the planned calls as they are written."""
     trips = table(spark, folder, "schedule_trips").filter("trip_id is not null").select("trip_id", "route_id").distinct()
     calls = table(spark, folder, "schedule_calls").filter("trip_id is not null and stop_id is not null").groupBy("trip_id", "stop_sequence").agg(F.min("stop_id").alias("stop_id"))
-    return S.segments(trips, calls).select("route_id", "from_stop_id", "to_stop_id", F.size("occurrences").cast("long").alias("occurrences"), F.col("occurrences")[0]["trip_id"].alias("first_trip"))
+    return S.segments(trips, calls)
 
 
 def next_call(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,7 +258,7 @@ def snapshot_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 _QUERIES = (
     interval_valid_join, date_route_rollup, feed_versions_listagg, event_order_ambiguous, event_aliases, physical_events, lane_times, headway_relations, run_relations, run_conflicts, exact_run_relations,
-    population_battery, population_groups, population_decision, vehicle_lane_headways, mesh_relations, mesh_violations, event_prefix, cut_audit, mesh_degrees, replay_headway_audit, active_edges, replay_missingness,
+    population_battery, population_groups, population_decision, vehicle_lane_headways, mesh_relations, mesh_violations, event_prefix, cut_audit, mesh_degrees, replay_headway_audit, active_edges, replay_missingness, replay_extract, replay_expectations, graph_version,
     segments, next_call, calendar_service_active, schedule_expectations, transition_findings, eligible_entities, snapshot_fingerprint,
 )
 QUERIES = {f.__name__: f for f in _QUERIES} | {f"clock_audit_{s}": _clock(s) for s in (30, 60, 300)}
@@ -338,6 +362,19 @@ SELECT s.service_id, d.service_date, EXISTS (SELECT 1 FROM t WHERE t.a = t.z AND
 UNION ALL SELECT service_date, start_time, trip_id, vehicle_id FROM (SELECT * FROM c WHERE vehicle_id IS NOT NULL) ANTI JOIN (SELECT * FROM fi WHERE code = 'ACTIVE_AFTER_TERMINAL') USING (service_date, start_time, trip_id) ANTI JOIN (SELECT * FROM fi WHERE code IN ('VEHICLE_STOP_REGRESSED', 'VEHICLE_OBSERVATION_STALE')) USING (service_date, start_time, trip_id, vehicle_id)""",
     "replay_headway_audit": f"""{_ONE}, j AS (SELECT * FROM rl WHERE kind = 'headway' AND tp IS NOT NULL AND d IS NOT NULL), bi AS (SELECT count(*) AS n FROM j WHERE label = el GROUP BY tp, d, ta // 300)
 SELECT count(*) AS derived_values, count(*) FILTER (WHERE label = el) AS exact_matches, count(*) FILTER (WHERE label <> el) AS mismatches, count(*) FILTER (WHERE label IS NULL) AS derived_only, (SELECT count(*) FROM bi) AS target_bins, (SELECT count(*) FILTER (WHERE n > 1) FROM bi) AS colliding_target_bins, (SELECT coalesce(max(n), 0) FROM bi) AS max_targets_per_bin FROM j""",
+    "graph_version": """WITH c AS (SELECT trip_id, stop_sequence, min(stop_id) AS s FROM schedule_calls WHERE trip_id IS NOT NULL AND stop_id IS NOT NULL GROUP BY 1, 2), n AS (SELECT trip_id, s, lead(s) OVER (PARTITION BY trip_id ORDER BY stop_sequence) AS t FROM c),
+g AS (SELECT route_id, s, t, count(*) AS n FROM n JOIN (SELECT DISTINCT trip_id, route_id FROM schedule_trips WHERE trip_id IS NOT NULL) USING (trip_id) WHERE t IS NOT NULL GROUP BY 1, 2, 3), h AS (SELECT sha256(concat_ws(chr(1), s, CAST(n AS VARCHAR), coalesce(route_id, chr(2)), t)) AS h FROM g)
+SELECT count(*) AS rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), """ + ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {16 * i + 1}, 15) AS BIGINT)), 0) AS VARCHAR)" for i in range(4)) + ")) AS fingerprint FROM h",
+    "replay_extract": f"""{_R}, b AS (SELECT seen // 3600 * 3600 AS h FROM r WHERE seen > 0 GROUP BY 1 ORDER BY count(*) DESC, h LIMIT 1), c AS (SELECT r.* FROM r, b WHERE seen >= h AND seen < h + 3600), u AS (SELECT DISTINCT trip_id, service_date FROM c WHERE trip_id IS NOT NULL),
+t AS (SELECT DISTINCT * FROM schedule_trips t WHERE EXISTS (SELECT 1 FROM u WHERE u.trip_id = t.trip_id AND u.service_date BETWEEN t.gtfs_active_date AND t.gtfs_end_date)), p AS (SELECT DISTINCT * FROM schedule_calls t WHERE EXISTS (SELECT 1 FROM u WHERE u.trip_id = t.trip_id AND u.service_date BETWEEN t.gtfs_active_date AND t.gtfs_end_date)),
+d AS (SELECT DISTINCT p.stop_id, c.service_date FROM p, (SELECT DISTINCT service_date FROM c) c WHERE c.service_date BETWEEN p.gtfs_active_date AND p.gtfs_end_date), s AS (SELECT DISTINCT * FROM schedule_stops s WHERE EXISTS (SELECT 1 FROM d WHERE d.stop_id = s.stop_id AND d.service_date BETWEEN s.gtfs_active_date AND s.gtfs_end_date))
+SELECT 'replay' AS name, count(*) AS n FROM c UNION ALL SELECT 'trips', count(*) FROM t UNION ALL SELECT 'calls', count(*) FROM p UNION ALL SELECT 'stops', count(*) FROM s""",
+    "replay_expectations": f"""{_R}, b AS (SELECT seen // 3600 * 3600 + 1800 AS m FROM r WHERE seen > 0 GROUP BY 1 ORDER BY count(*) DESC, m LIMIT 1), pl AS (SELECT DISTINCT trip_id, stop_sequence, stop_id, {_seconds('arrival_time')} AS a, {_seconds('departure_time')} AS d FROM schedule_calls),
+k AS (SELECT r.*, coalesce(seen >= m - 43200 AND seen < m + 43200, false) AS inside, EXISTS (SELECT 1 FROM schedule_trips t WHERE t.trip_id = r.trip_id) AS t, EXISTS (SELECT 1 FROM schedule_trips t WHERE t.trip_id = r.trip_id AND t.route_id IS NOT DISTINCT FROM r.route_id AND CAST(t.direction_id AS INT) IS NOT DISTINCT FROM r.direction_id) AS li,
+  EXISTS (SELECT 1 FROM pl WHERE pl.trip_id = r.trip_id AND pl.stop_sequence = r.stop_sequence) AS c, EXISTS (SELECT 1 FROM pl WHERE pl.trip_id = r.trip_id AND pl.stop_sequence = r.stop_sequence AND pl.stop_id IS NOT DISTINCT FROM r.stop_id) AS st,
+  EXISTS (SELECT 1 FROM pl WHERE pl.trip_id = r.trip_id AND pl.stop_sequence = r.stop_sequence AND pl.stop_id IS NOT DISTINCT FROM r.stop_id AND pl.a IS NOT DISTINCT FROM r.scheduled_arrival_time AND pl.d IS NOT DISTINCT FROM r.scheduled_departure_time) AS tm, EXISTS (SELECT 1 FROM schedule_stops s WHERE s.stop_id = r.stop_id) AS h FROM r, b),
+v AS (SELECT unnest(list_filter([CASE WHEN NOT inside THEN 'outside the interval' END, CASE WHEN NOT t THEN 'trip not planned' END, CASE WHEN NOT c THEN 'call not planned' END, CASE WHEN NOT h THEN 'stop unknown' END, CASE WHEN t AND NOT li THEN 'route or direction differs' END, CASE WHEN c AND NOT st THEN 'stop differs' END, CASE WHEN st AND NOT tm THEN 'time differs' END], lambda x: x IS NOT NULL)) AS rule FROM k
+UNION ALL SELECT 'call repeated' FROM r GROUP BY service_date, start_time, trip_id, stop_sequence HAVING count(*) > 1) SELECT rule, count(*) AS n FROM v GROUP BY 1""",
     "snapshot_fingerprint": _SNAP + """, t AS (SELECT 'trip' AS kind, service_date, start_time, trip_id, CAST(NULL AS VARCHAR) AS vehicle_id, CASE WHEN vehicle_id IS NULL THEN 'CANCELED' ELSE 'SCHEDULED' END AS what, seen FROM c UNION ALL SELECT 'vehicle', service_date, start_time, trip_id, vehicle_id, CAST(stop_sequence AS VARCHAR), seen FROM c WHERE vehicle_id IS NOT NULL),
 h AS (SELECT sha256(concat_ws(chr(1), kind, coalesce(CAST(seen AS VARCHAR), chr(2)), coalesce(CAST(service_date AS VARCHAR), chr(2)), coalesce(CAST(start_time AS VARCHAR), chr(2)), coalesce(trip_id, chr(2)), coalesce(vehicle_id, chr(2)), coalesce(what, chr(2)))) AS h FROM t)
 SELECT count(*) AS rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), """ + ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {16 * i + 1}, 15) AS BIGINT)), 0) AS VARCHAR)" for i in range(4)) + ")) AS fingerprint FROM h",

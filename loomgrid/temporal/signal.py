@@ -8,10 +8,11 @@ Defined cases: t counts from 0 without gaps (``dense`` fills them). Windows that
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrid.graph.mesh import MeshGraph
@@ -151,3 +152,34 @@ class TemporalSignal:
         for v in self.x:
             out = out.join(spread(self.series, v, range(history), [f"{v}_{i}" for i in range(history)], 0, self.steps - history), ["node", "t"])
         return out.withColumnRenamed("t", "start")
+
+
+def trajectory_windows(rows: DataFrame, value: str, history: int, horizon: int) -> DataFrame:
+    """(trajectory, node, start, h0, ..., f0, ...): the windows within each trajectory (trajectory, step, node, value); none reaches from one into another."""
+    names = [f"h{i}" for i in range(history)] + [f"f{i}" for i in range(horizon)]
+    moved = rows.select("trajectory", "node", F.col("step").alias("_t"), F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(history + horizon - 1))).alias("_k"))
+    moved = moved.withColumn("start", F.col("_t") - F.col("_k")).filter("start >= 0")
+    out = moved.groupBy("trajectory", "node", "start").agg(F.count(F.lit(1)).alias("_n"), *[F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(n) for k, n in enumerate(names)])
+    return out.filter(F.col("_n") == len(names)).drop("_n")
+
+
+def numbered_batches(windows: DataFrame, size: int, seed: int | None = None) -> DataFrame:
+    """Adds `batch`: windows by start, `size` starts a batch; with a seed, starts are dealt in the order of a seeded hash. Starts are as many as steps."""
+    starts = windows.select("start").distinct()
+    order = F.col("start") if seed is None else F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("start").cast("string")))
+    dealt = starts.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order, "start")) - 1) / F.lit(size)))
+    return windows.join(dealt, "start")
+
+
+def position_patches(spark: SparkSession, samples: int) -> DataFrame:
+    """(sample, place, x, y, role) of a square grid of samples (a, b) over [-2, 2]: three context nodes and, on either side of them, three nodes of each target patch, which a predictor can
+    only tell apart by its position."""
+    side = math.isqrt(samples)
+    if side < 2 or side * side != samples:
+        raise ValueError("samples are a square number, 4 at least")
+    along = lambda c: c * (4.0 / (side - 1)) - 2.0
+    grid = spark.range(samples).select(F.col("id").alias("sample"), along(F.col("id") % side).alias("a"), along(F.floor(F.col("id") / F.lit(side))).alias("b"))
+    # The nodes of each patch as expressions of a and b.
+    patches = {"context": [("a", "0"), ("a", "b"), ("0", "b")], "right": [("a + b + 2", "a - b + 2"), ("a + 2", "b + 2"), ("b + 2", "a + 2")], "left": [("2 * a - b - 2", "a + b - 2"), ("-a - 2", "b - 2"), ("b - 2", "-a - 2")]}
+    nodes = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(k).alias("place"), F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y")) for role, ns in patches.items() for k, (x, y) in enumerate(ns)])
+    return grid.select("sample", F.explode(nodes).alias("n")).select("sample", "n.*")

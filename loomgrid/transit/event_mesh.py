@@ -41,9 +41,8 @@ def departures(rows: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def events(left: DataFrame) -> DataFrame:
-    """One row for each physical departure with the records that name it, sorted."""
-    alias = F.struct(*INSTANCE, "stop_sequence", "stop_id", "next_sequence", "following_stop_id", "headway_trunk_seconds")
-    return left.groupBy(*KEY).agg(F.min("trunk_route_id").alias("trunk_route_id"), F.array_sort(F.collect_list(alias)).alias("aliases"), F.count_distinct("trunk_route_id").alias("trunks"), F.count_distinct("headway_trunk_seconds").alias("labels"), F.max("headway_trunk_seconds").alias("label"))
+    """One row for each physical departure and how many records name it; the records themselves are the rows of `departures` with its key."""
+    return left.groupBy(*KEY).agg(F.min("trunk_route_id").alias("trunk_route_id"), F.count(F.lit(1)).alias("aliases"), F.count_distinct("trunk_route_id").alias("trunks"), F.count_distinct("headway_trunk_seconds").alias("labels"), F.max("headway_trunk_seconds").alias("label"))
 
 
 def runs(left: DataFrame) -> DataFrame:
@@ -69,7 +68,7 @@ class EventMesh:
         rule = lambda f, name: f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n")
         found = [
             rule(self.events.groupBy(*KEY).count().filter("count > 1"), "event repeated"),
-            rule(self.events.filter("size(aliases) = 0"), "event without record"),
+            rule(self.events.filter("aliases < 1"), "event without record"),
             rule(self.events.filter("trunks <> 1"), "event of several trunks"),
             rule(self.events.filter("labels > 1"), "event of several labels"),
             rule(r.filter("kind not in ('run', 'headway')"), "unknown kind"),

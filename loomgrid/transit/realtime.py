@@ -80,7 +80,7 @@ def violations(s: Snapshot, schedule: Mapping[str, DataFrame]) -> DataFrame:
         rule(s.trips.join(schedule["trips"].select("trip_id"), "trip_id", "left_anti"), "trip not planned"),
         rule(planned.filter("not (route_id <=> _route)"), "route differs"),
         rule(planned.join(active.filter("not active"), ["service_id", "service_date"], "left_semi"), "service inactive"),
-        rule(s.trips.join(frequent, "trip_id", "left_semi").join(in_frequency(s.trips.select("entity", "trip_id", "start_time"), schedule["frequencies"]).select("entity"), "entity", "left_anti"), "start outside frequencies"),
+        rule(s.trips.join(frequent, "trip_id", "left_semi").join(in_frequency(s.trips.select("generated_at", "entity", "trip_id", "start_time"), schedule["frequencies"]).select("generated_at", "entity"), ["generated_at", "entity"], "left_anti"), "start outside frequencies"),
         rule(s.trips.join(frequent, "trip_id", "left_anti").join(first, "trip_id").filter("start_time <> _first"), "start differs from first departure"),
         rule(s.trips.filter("relationship = 'CANCELED' and (has_vehicle or has_update)"), "canceled trip is active"),
         rule(live.filter("not has_vehicle or not has_update"), "active trip without vehicle or update"),

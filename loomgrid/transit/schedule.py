@@ -91,8 +91,9 @@ def require(*found: DataFrame) -> None:
 
 
 def ordered_calls(calls: DataFrame, by: tuple[str, ...] = ("trip_id",)) -> DataFrame:
-    """(by..., calls): each trip's calls in order, as a list; a trip has some dozens."""
-    return calls.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("stop_sequence", "stop_id", "arrival_time", "departure_time"))).alias("calls"))
+    """Calls with their place in the trip, from 0."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("stop_sequence", "stop_id")) - 1
+    return calls.select(*by, place.alias("place"), "stop_sequence", "stop_id", "arrival_time", "departure_time")
 
 
 def next_calls(calls: DataFrame, by: tuple[str, ...] = ("trip_id",), tie: str | None = None) -> DataFrame:
@@ -101,10 +102,15 @@ def next_calls(calls: DataFrame, by: tuple[str, ...] = ("trip_id",), tie: str |
     return calls.select("*", F.lead("stop_id").over(trip).alias("next_stop_id"), F.lead("stop_sequence").over(trip).alias("next_sequence"))
 
 
-def segments(trips: DataFrame, calls: DataFrame) -> DataFrame:
-    """(route_id, from_stop_id, to_stop_id, occurrences): the pairs of neighbouring stops of each route and where trips use them, sorted."""
+def segment_occurrences(trips: DataFrame, calls: DataFrame) -> DataFrame:
+    """(route_id, from_stop_id, to_stop_id, trip_id, from_sequence, to_sequence): every pair of neighbouring calls."""
     pairs = next_calls(calls).filter("next_stop_id is not null").join(trips.select("trip_id", "route_id"), "trip_id")
-    return pairs.groupBy("route_id", F.col("stop_id").alias("from_stop_id"), F.col("next_stop_id").alias("to_stop_id")).agg(F.array_sort(F.collect_list(F.struct("trip_id", F.col("stop_sequence").alias("from_sequence"), F.col("next_sequence").alias("to_sequence")))).alias("occurrences"))
+    return pairs.select("route_id", F.col("stop_id").alias("from_stop_id"), F.col("next_stop_id").alias("to_stop_id"), "trip_id", F.col("stop_sequence").alias("from_sequence"), F.col("next_sequence").alias("to_sequence"))
+
+
+def segments(trips: DataFrame, calls: DataFrame) -> DataFrame:
+    """(route_id, from_stop_id, to_stop_id, occurrences, first_trip): the distinct pairs of neighbouring stops of each route and how often trips use them."""
+    return segment_occurrences(trips, calls).groupBy("route_id", "from_stop_id", "to_stop_id").agg(F.count(F.lit(1)).alias("occurrences"), F.min("trip_id").alias("first_trip"))
 
 
 def service_active(services: DataFrame, exceptions: DataFrame, dates: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from loomgrid.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", 4)
+    session = local_session("2", 2)
     session.sparkContext.setLogLevel("OFF")
-    # tables here are tiny: compiling every stage would take longer than running it
+    # tables here are tiny: compiling stages and planning them again would take longer than running them
     session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
     return session

@@ -159,3 +159,21 @@ def test_training(spark):
     w = {"a": np.ones(2)}
     assert training.fingerprint(w) == training.fingerprint({"a": np.ones(2)}) != training.fingerprint({"a": np.zeros(2)})
     assert np.allclose(training.moving_average(w, {"a": np.zeros(2)}, 0.9)["a"], 0.9)
+
+
+def test_trajectory_windows_and_batches(spark):
+    rows = spark.createDataFrame([(k, 0, s, float(10 * k + s)) for k in range(2) for s in range(5)], "trajectory long, node long, step int, value double")
+    got = {(r.trajectory, r.start): (r.h0, r.h1, r.f0) for r in S.trajectory_windows(rows, "value", 2, 1).collect()}
+    assert got == {(k, s): (10 * k + s, 10 * k + s + 1, 10 * k + s + 2) for k in range(2) for s in range(3)}
+    windows = spark.range(10).selectExpr("id as start")
+    plain = {r.start: r.batch for r in S.numbered_batches(windows, 4).collect()}
+    assert plain == {s: s // 4 for s in range(10)}
+    mixed = [{r.start: r.batch for r in S.numbered_batches(w, 4, 3).collect()} for w in (windows, windows.repartition(3))]
+    assert mixed[0] == mixed[1] != plain and sorted(mixed[0].values()) == sorted(plain.values())
+
+
+def test_position_patches(spark):
+    rows = {(r.sample, r.role, r.place): (r.x, r.y) for r in S.position_patches(spark, 4).collect()}
+    assert len(rows) == 36 and rows[(1, "context", 1)] == (2.0, -2.0) and rows[(1, "right", 0)] == (2.0, 6.0) and rows[(2, "left", 0)] == (-8.0, -2.0)
+    with pytest.raises(ValueError):
+        S.position_patches(spark, 5)

@@ -49,28 +49,19 @@ def test_schedule_is_typed_and_whole(spark, schedule):
     S.require(bad, S.violations(found))
     calls = {(r.trip_id, r.stop_sequence): (r.arrival_time, r.departure_time) for r in schedule["stop_times"].collect()}
     assert calls[("t1", 2)] == (87000, 87060) and calls[("t1", 3)] == (90062, 90062)
-    segments = {(r.from_stop_id, r.to_stop_id): len(r.occurrences) for r in S.segments(schedule["trips"], schedule["stop_times"]).collect()}
+    segments = {(r.from_stop_id, r.to_stop_id): r.occurrences for r in S.segments(schedule["trips"], schedule["stop_times"]).collect()}
     assert segments == {("s1", "s2"): 1, ("s2", "s3"): 1, ("s1", "s3"): 1}
-    assert [len(r.calls) for r in S.ordered_calls(schedule["stop_times"]).orderBy("trip_id").collect()] == [3, 2]
-
-
-@pytest.mark.parametrize(
-    "table, text, rule",
-    [
-        ("trips", TEXTS["trips"] + "r,w,t1\n", "trips repeated"),
-        ("trips", TEXTS["trips"] + "r,w,t3\n", "trip of less than two calls"),
-        ("trips", TEXTS["trips"] + "q,w,t2x\n", "trips.route_id dangling"),
-        ("stop_times", TEXTS["stop_times"] + "t1,26:00:00,25:00:00,s1,4\n", "stop_times out of range"),
-        ("stop_times", TEXTS["stop_times"] + "t1,,,s1,4\n", "terminal call without time"),
-        ("stop_times", TEXTS["stop_times"] + "t1,7:00,7:00:00,s1,4\n", "unreadable arrival_time"),
-        ("frequencies", TEXTS["frequencies"] + "t2,7:30:00,9:00:00,600\n", "frequencies overlap"),
-        ("stops", TEXTS["stops"] + "s4,Four,91,2\n", "stops out of range"),
-    ],
-)
-def test_broken_rules_are_named(spark, table, text, rule):
-    found, bad = tables(spark, **{table: text})
-    every = S.violations(found).unionByName(bad)
-    assert rule in {r.rule for r in every.collect()}
+    assert sorted((r.trip_id, r.place, r.stop_id) for r in S.ordered_calls(schedule["stop_times"]).collect()) == [("t1", 0, "s1"), ("t1", 1, "s2"), ("t1", 2, "s3"), ("t2", 0, "s1"), ("t2", 1, "s3")]
+
+
+def test_broken_rules_are_named(spark):
+    """One schedule with a fault of every kind."""
+    found, bad = tables(
+        spark, trips=TEXTS["trips"] + "r,w,t1\nr,w,t3\nq,w,t2x\n", stop_times=TEXTS["stop_times"] + "t1,26:00:00,25:00:00,s1,4\nt2x,,,s1,1\nt2x,7:00,7:00:00,s1,2\n",
+        frequencies=TEXTS["frequencies"] + "t2,7:30:00,9:00:00,600\n", stops=TEXTS["stops"] + "s4,Four,91,2\n",
+    )
+    rules = {r.rule for r in S.violations(found).unionByName(bad).collect()}
+    assert rules == {"trips repeated", "trip of less than two calls", "trips.route_id dangling", "stop_times out of range", "terminal call without time", "unreadable arrival_time", "frequencies overlap", "stops out of range"}
 
 
 def test_broken_schedules_are_refused(spark):
@@ -122,28 +113,30 @@ def test_snapshot_is_normalised(spark, schedule):
     assert s.vehicles.count() == 1 and s.predictions.count() == 1
 
 
-@pytest.mark.parametrize(
-    "path, value, rule",
-    [
-        ("header__incrementality", "DIFFERENTIAL", "only full messages"),
-        ("entities__0__trip__route_id", "q", "route differs"),
-        ("entities__0__trip__trip_id", "zz", "trip not planned"),
-        ("entities__0__trip__start_date", "20240102", "service inactive"),
-        ("entities__0__trip__start_date", "20249999", "instance incomplete"),
-        ("entities__0__trip__start_time", "23:00:00", "start differs from first departure"),
-        ("entities__1__trip__start_time", "9:00:00", "start outside frequencies"),
-        ("entities__0__vehicle__timestamp", 1001, "vehicle newer than feed"),
-        ("entities__0__vehicle__current_stop_id", "s1", "vehicle at another stop"),
-        ("entities__0__vehicle__current_status", "FLYING", "unknown status"),
-        ("entities__0__trip_update__delay_at_stop_sequence", 1, "delay of another stop"),
-        ("entities__0__trip_update__stop_time_updates__0__stop_sequence", 2, "prediction of the past"),
-        ("entities__0__trip_update__stop_time_updates__0__arrival", None, "prediction without event"),
-        ("entities__1__id", "v", "entity repeated"),
-        ("entities__1__trip__schedule_relationship", "ADDED", "unknown relationship"),
-    ],
-)
-def test_broken_messages(spark, schedule, path, value, rule):
-    assert rule in {r.rule for r in R.violations(R.facts(texts(spark, message(**{path: value}))), schedule).collect()}
+BROKEN = [
+    ("header__incrementality", "DIFFERENTIAL", "only full messages"),
+    ("entities__0__trip__route_id", "q", "route differs"),
+    ("entities__0__trip__trip_id", "zz", "trip not planned"),
+    ("entities__0__trip__start_date", "20240102", "service inactive"),
+    ("entities__0__trip__start_date", "20249999", "instance incomplete"),
+    ("entities__0__trip__start_time", "23:00:00", "start differs from first departure"),
+    ("entities__1__trip__start_time", "9:00:00", "start outside frequencies"),
+    ("entities__0__vehicle__timestamp", 1001, "vehicle newer than feed"),
+    ("entities__0__vehicle__current_stop_id", "s1", "vehicle at another stop"),
+    ("entities__0__vehicle__current_status", "FLYING", "unknown status"),
+    ("entities__0__trip_update__delay_at_stop_sequence", 1, "delay of another stop"),
+    ("entities__0__trip_update__stop_time_updates__0__stop_sequence", 2, "prediction of the past"),
+    ("entities__0__trip_update__stop_time_updates__0__arrival", None, "prediction without event"),
+    ("entities__1__id", "v", "entity repeated"),
+    ("entities__1__trip__schedule_relationship", "ADDED", "unknown relationship"),
+]
+
+
+def test_broken_messages(spark, schedule):
+    """Each message breaks one rule; messages are apart in time."""
+    messages = [message(**({path: value + 10_000 * k if isinstance(value, int) and value > 1000 else value} | ({"header__timestamp": 1000 + 10_000 * k}))) for k, (path, value, _) in enumerate(BROKEN)]
+    assert {rule for _, _, rule in BROKEN} <= {r.rule for r in R.violations(R.facts(texts(spark, *messages)), schedule).collect()}
+    assert R.violations(R.facts(texts(spark, message())), schedule).count() == 0
 
 
 def test_broken_message_is_refused(spark, schedule):
@@ -260,3 +253,16 @@ def test_struct_distinct_counts_nulls(spark):
 
     rows = spark.createDataFrame([(1, None), (1, 2), (1, None)], "a int, b int")
     assert rows.agg(F.count_distinct(F.struct("a", "b"))).first()[0] == 2
+
+
+def test_replay_rules_and_extract(spark):
+    from loomgrid.transit import replay as RP
+
+    rows = spark.createDataFrame([(0, 20240101, 0, "t1", 1, "r", 0, "s1", 50, None, 10, 10), (1, 20240101, 0, "t1", 1, "r", 0, "s1", 60, None, 10, 10), (2, 20240101, 0, "t1", 2, "q", 0, "s9", None, 500, 20, 20), (3, 20240101, 0, "t9", 1, "r", 0, "s1", 70, None, 1, 1)], "row_id long, service_date int, start_time int, trip_id string, stop_sequence int, route_id string, direction_id int, stop_id string, move_timestamp long, stop_timestamp long, scheduled_arrival_time int, scheduled_departure_time int")
+    trips = spark.createDataFrame([("r", "w", "t1", 0, 20240101, 20240102), ("r", "w", "t1", 0, 20230101, 20230102)], "route_id string, service_id string, trip_id string, direction_id int, gtfs_active_date int, gtfs_end_date int")
+    calls = spark.createDataFrame([("t1", "0:00:10", "0:00:10", "s1", 1, 20240101, 20240102), ("t1", "0:00:20", "0:00:20", "s2", 2, 20240101, 20240102)], "trip_id string, arrival_time string, departure_time string, stop_id string, stop_sequence int, gtfs_active_date int, gtfs_end_date int")
+    stops = spark.createDataFrame([("s1", 20200101, 20991231), ("s2", 20200101, 20201231), ("s3", 20200101, 20991231)], "stop_id string, gtfs_active_date int, gtfs_end_date int")
+    found = sorted((r.rule, r.key) for r in RP.violations(rows, trips, calls, stops, 0, 100).collect())
+    assert found == [("call not planned", "3"), ("call repeated", "0"), ("outside the interval", "2"), ("route or direction differs", "2"), ("stop differs", "2"), ("stop unknown", "2"), ("trip not planned", "3")]
+    parts = {n: f.count() for n, f in RP.extract(rows, trips, calls, stops, 0, 100, ["r"]).items()}
+    assert parts == {"replay": 3, "trips": 1, "calls": 2, "stops": 1}
