@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomgrid.session import ship
 
 Matrix = Sequence[Sequence[float]]
 
@@ -21,6 +26,31 @@ def linear(columns: Sequence[Column], weight: Matrix, bias: Sequence[float] | No
     return [dot(columns, row) + (F.lit(float(bias[i])) if bias is not None else F.lit(0.0)) for i, row in enumerate(weight)]
 
 
+#: Weights up to which a map is written as column expressions; larger ones are matrix products on Arrow batches.
+NARROW = 256
+
+
+def project(frame: DataFrame, keep: Sequence[str], maps: Sequence[tuple[Sequence[str], Matrix, Sequence[float] | None, str]]) -> DataFrame:
+    """The kept columns and, for each map (inputs, weight, bias, prefix), its results as prefix0, prefix1, ... The shape of the weights decides how: column expressions
+    compile for a few features, and would not for hundreds. Null inputs count as 0 in a product on batches."""
+    if sum(len(w) * len(i) for i, w, _, _ in maps) <= NARROW:
+        return frame.select(*keep, *[c.alias(f"{p}{k}") for i, w, b, p in maps for k, c in enumerate(linear([F.col(n) for n in i], w, b))])
+    ship(frame.sparkSession)
+    names = list(dict.fromkeys(n for i, _, _, _ in maps for n in i))
+    arrays = [([names.index(n) for n in i], np.asarray(w, float).T, np.zeros(len(w)) if b is None else np.asarray(b, float)) for i, w, b, _ in maps]
+    outs = [f"{p}{k}" for _, w, _, p in maps for k in range(len(w))]
+    rows = frame.select(*keep, *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"_in{k}") for k, n in enumerate(names)])
+    kept = len(keep)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([b.column(kept + k).to_numpy(zero_copy_only=False) for k in range(len(names))]) if b.num_rows else np.zeros((0, len(names)))
+            y = np.concatenate([x[:, at] @ w + bias for at, w, bias in arrays], 1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], *[pa.array(np.ascontiguousarray(y[:, j])) for j in range(y.shape[1])]], names=[*b.schema.names[:kept], *outs])
+
+    return rows.mapInArrow(products, T.StructType([*rows.schema.fields[:kept], *[T.StructField(o, T.DoubleType()) for o in outs]]))
+
+
 def relu(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0))
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.functions.dense import Matrix, leaky_relu, linear, relu
+from loomgrid.functions.dense import Matrix, leaky_relu, linear, project, relu
 from loomgrid.graph.mesh import MeshGraph
 
 Names = Sequence[str]
@@ -34,7 +34,7 @@ def sage(graph: MeshGraph, field: DataFrame, values: Names, neighbour: Matrix, r
     """W_n mean(in-neighbours) + b + W_r x. The bias is added after the mean: nodes without neighbours have it too."""
     means, ms = _prefixed(graph.mean(field, values, lanes), values, lanes, "_m")
     both = field.select(*lanes, "node", *values).join(means, [*lanes, "node"])
-    return both.select(*lanes, "node", *named([a + b for a, b in zip(linear(cols(ms), neighbour, bias), linear(cols(values), root))]))
+    return project(both, [*lanes, "node"], [([*ms, *values], [[*a, *b] for a, b in zip(neighbour, root)], bias, "o")])
 
 
 def gine(graph: MeshGraph, field: DataFrame, values: Names, edge_field: DataFrame, edge_values: Names, edge: tuple[Matrix, Sequence[float]], hidden: tuple[Matrix, Sequence[float]], output: tuple[Matrix, Sequence[float]], eps: float = 0.0) -> DataFrame:
@@ -63,11 +63,11 @@ def gcn(graph: MeshGraph, field: DataFrame, values: Names, weight: Matrix, bias:
     """W (D^-1/2 A D^-1/2 x) + b over the edges given; loops are up to the caller. The projection comes first where it narrows the features."""
     scale = degree_scale(graph)
     if len(weight) < len(values):
-        narrow = field.select(*lanes, "node", *named(linear(cols(values), weight), "_p"))
+        narrow = project(field, [*lanes, "node"], [(values, weight, None, "_p")])
         names = [f"_p{i}" for i in range(len(weight))]
         out = normalised_sum(graph, narrow, names, scale, lanes)
         return out.select(*lanes, "node", *named([F.col(n) + (bias[i] if bias is not None else 0.0) for i, n in enumerate(names)]))
-    return normalised_sum(graph, field, values, scale, lanes).select(*lanes, "node", *named(linear(cols(values), weight, bias)))
+    return project(normalised_sum(graph, field, values, scale, lanes), [*lanes, "node"], [(values, weight, bias, "o")])
 
 
 def gat(graph: MeshGraph, field: DataFrame, values: Names, weight: Matrix, source_attention: Matrix, target_attention: Matrix, bias: Sequence[float] | None = None, slope: float = 0.2) -> DataFrame:
@@ -108,7 +108,7 @@ def cheb(graph: MeshGraph, field: DataFrame, values: Names, weight: Matrix, bias
     if checked:
         graph.require_symmetric()
     basis, names = chebyshev_basis(graph, field, values, order, lanes)
-    return basis.select(*lanes, "node", *named(linear(cols(names), weight, bias)))
+    return project(basis, [*lanes, "node"], [(names, weight, bias, "o")])
 
 
 def mesh_conv(graph: MeshGraph, field: DataFrame, values: Names, relations: DataFrame, kinds: Names, root: Matrix, weights: Sequence[Matrix]) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.functions.dense import Matrix, linear, sigmoid, softmax_weights
+from loomgrid.functions.dense import Matrix, linear, project, sigmoid, softmax_weights
 from loomgrid.graph.mesh import MeshGraph
 from loomgrid.layers.conv import chebyshev_basis, cols, diffusion, gcn
 from loomgrid.session import cut
@@ -44,14 +44,13 @@ class TGCN:
     candidate: Affine
 
     def step(self, field: DataFrame, values: Names, state: DataFrame, lanes: Names = ()) -> DataFrame:
-        n = len(self.update[0])
-        spread = gcn(self.graph, field, values, self.projection, None, lanes).join(state, [*lanes, "node"])
-        part = lambda k: [F.col(f"o{k * n + i}") for i in range(n)]
-        gates = spread.select(
-            "*", *[sigmoid(c).alias(f"_u{i}") for i, c in enumerate(linear(part(0) + cols(_h(n)), *self.update))], *[sigmoid(c).alias(f"_r{i}") for i, c in enumerate(linear(part(1) + cols(_h(n)), *self.reset))]
-        )
-        new = [F.tanh(c) for c in linear(part(2) + [F.col(h) * F.col(f"_r{i}") for i, h in enumerate(_h(n))], *self.candidate)]
-        return gates.select(*lanes, "node", *_gated([F.col(f"_u{i}") for i in range(n)], new, n))
+        n, keys = len(self.update[0]), [*lanes, "node"]
+        spread = gcn(self.graph, field, values, self.projection, None, lanes).join(state, keys)
+        part = lambda k: [f"o{k * n + i}" for i in range(n)]
+        gates = project(spread, [*keys, *part(2), *_h(n)], [([*part(0), *_h(n)], *self.update, "_u"), ([*part(1), *_h(n)], *self.reset, "_r")])
+        mixed = gates.select(*keys, *part(2), *_h(n), *[sigmoid(F.col(f"_u{i}")).alias(f"_u{i}") for i in range(n)], *[(F.col(h) * sigmoid(F.col(f"_r{i}"))).alias(f"_m{i}") for i, h in enumerate(_h(n))])
+        new = project(mixed, [*keys, *_h(n), *[f"_u{i}" for i in range(n)]], [([*part(2), *[f"_m{i}" for i in range(n)]], *self.candidate, "_k")])
+        return new.select(*keys, *_gated([F.col(f"_u{i}") for i in range(n)], [F.tanh(f"_k{i}") for i in range(n)], n))
 
 
 @dataclass(frozen=True)

@@ -182,3 +182,17 @@ def test_attention_masks_and_scales(spark):
     assert np.allclose(got(encoders.attention(tokens, ["g"], "node", ["x0", "x1"], q, k, v, 2, scale), "o"), want)
     none = tokens.selectExpr("g", "node", "x0", "x1", "false as there")
     assert np.allclose(got(encoders.attention(none, ["g"], "node", ["x0", "x1"], q, k, v, 2), "o"), 0)
+
+
+def test_wide_maps_are_products_on_batches(spark, graph, monkeypatch):
+    """The same results, however a map is computed; keys of any type pass through."""
+    from loomgrid.functions import dense
+
+    p, u, r, c = RNG.normal(size=(6, 2)), gates(2, 4), gates(2, 4), gates(2, 4)
+    cell, x = TGCN(graph.with_loops(), p, u, r, c), frame(spark, X)
+    want = [got(conv.sage(graph, x, ["x0", "x1"], W, V, B), "o"), got(conv.gcn(graph.with_loops(), x, ["x0", "x1"], W, B), "o"), got(cell.step(x, ["x0", "x1"], initial(x, 2)), "h")]
+    monkeypatch.setattr(dense, "NARROW", 0)
+    for a, b in zip(want, [got(conv.sage(graph, x, ["x0", "x1"], W, V, B), "o"), got(conv.gcn(graph.with_loops(), x, ["x0", "x1"], W, B), "o"), got(cell.step(x, ["x0", "x1"], initial(x, 2)), "h")]):
+        assert np.allclose(a, b)
+    keyed = dense.project(x.selectExpr("string(node) as name", "x0", "if(node = 1, null, x1) as x1"), ["name"], [(["x0", "x1"], [[1.0, 1.0]], [0.5], "y")]).orderBy("name").collect()
+    assert [r.name for r in keyed] == list("01234") and abs(keyed[1].y0 - X[1, 0] - 0.5) < 1e-9
