@@ -177,3 +177,10 @@ def test_position_patches(spark):
     assert len(rows) == 36 and rows[(1, "context", 1)] == (2.0, -2.0) and rows[(1, "right", 0)] == (2.0, 6.0) and rows[(2, "left", 0)] == (-8.0, -2.0)
     with pytest.raises(ValueError):
         S.position_patches(spark, 5)
+
+
+def test_probe_tells_what_is_apart(spark):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(float(rng.normal(3 * (i % 2))), float(rng.normal()), i % 2, i) for i in range(400)], "a double, b double, label int, i int")
+    train, test = training.probe(rows.filter("i % 4 <> 0"), rows.filter("i % 4 = 0 or i % 4 = 3"), ["a", "b"], "label", 0.01, 20)
+    assert train > 0.9 and test > 0.9
