@@ -150,14 +150,15 @@ def _cutoff(t: str, step: Column | float) -> Column:
 
 
 def _with_cutoffs(quantiles: DataFrame, usual: DataFrame, prefix: str, step: Column | float = 1.0) -> DataFrame:
-    out = quantiles.join(F.broadcast(usual), "field", "left")
-    keys = [c for c in ("field", "source") if c in quantiles.columns]
+    # a row for each kind and field
+    out = quantiles.join(F.broadcast(usual), [c for c in ("kind", "field") if c in usual.columns], "left")
+    keys = [c for c in ("kind", "field", "source") if c in quantiles.columns]
     return out.select(*keys, F.col("size").alias(f"{prefix}_size"), F.col("mid").alias(f"{prefix}_mid"), _cutoff("l", step).alias(f"{prefix}_low"), _cutoff("h", step).alias(f"{prefix}_high"))
 
 
 def _usual_shapes(shapes: DataFrame) -> DataFrame:
     """Per field the median shape and scale of its sources, by their values: sources are places, and few."""
-    return shapes.filter(F.col("size") >= FEW).groupBy("field").agg(*[F.percentile(f"{t}_{c}", 0.5, F.col("size")).alias(f"{t}_usual_{c}") for t in "lh" for c in ("shape", "scale")])
+    return shapes.filter(F.col("size") >= FEW).groupBy(*[c for c in ("kind", "field") if c in shapes.columns]).agg(*[F.percentile(f"{t}_{c}", 0.5, F.col("size")).alias(f"{t}_usual_{c}") for t in "lh" for c in ("shape", "scale")])
 
 
 def cutoffs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,17 +172,16 @@ def cutoffs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = shaped.select("field", "source", *[F.round(c).cast("int").alias(c) for c in ("l1", "mid", "h1")])
     seasons = seasons.join(base, ["field", "source"]).select("field", "source", "hour", *[F.when(own, F.col(c)).otherwise(F.col(d)).alias(c) for c, d in (("season_low", "l1"), ("season", "mid"), ("season_high", "h1"))])
     seasons = written(seasons)
-    usual = bins.join(seasons, ["field", "source", "hour"])
-
-    def law(threshold: str, by: list[str]) -> DataFrame:
-        return _shapes(_quantiles(usual.groupBy(*by, (F.col("bin") - F.col(threshold)).alias("bin")).agg(F.sum("n").alias("n")), by, _TAIL, 1.0))
-
-    residuals = None
-    for threshold, side in (("season_low", "low"), ("season_high", "high")):
-        over = written(law(threshold, ["field", "source"]))
-        one = _with_cutoffs(over, _usual_shapes(over), "residual").select("field", "source", f"residual_{side}")
-        residuals = one if residuals is None else residuals.join(one, ["field", "source"])
-    pooled = _with_cutoffs(law("season", ["field"]), _usual_shapes(shaped), "pooled").drop("pooled_mid")
+    # the residuals' laws: below the low threshold, above the high one, and around the median for the whole field
+    kinds = (("low", "season_low", F.col("source")), ("high", "season_high", F.col("source")), ("pooled", "season", F.lit("")))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), of.alias("source"), (F.col("bin") - F.col(t)).alias("bin")) for k, t, of in kinds]))
+    folded = bins.join(seasons, ["field", "source", "hour"]).select("field", each.alias("e"), "n").groupBy("e.kind", "field", "e.source", "e.bin").agg(F.sum("n").alias("n"))
+    law = written(_shapes(_quantiles(folded, ["kind", "field", "source"], _TAIL, 1.0)))
+    usual = _usual_shapes(law.filter("kind <> 'pooled'")).unionByName(_usual_shapes(shaped).withColumn("kind", F.lit("pooled")))
+    cut = _with_cutoffs(law, usual, "r")
+    side = lambda k: F.max(F.when(F.col("kind") == k, F.col(f"r_{k}"))).alias(f"residual_{k}")
+    residuals = cut.filter("kind <> 'pooled'").groupBy("field", "source").agg(side("low"), side("high"))
+    pooled = cut.filter("kind = 'pooled'").select("field", F.col("r_low").alias("pooled_low"), F.col("r_high").alias("pooled_high"))
     # three fields
     return levels.join(residuals, ["field", "source"]).join(F.broadcast(pooled), "field"), seasons
 
