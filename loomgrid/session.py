@@ -38,7 +38,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         if not folder:
-            if not context.master.startswith("local["):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="loomgrid-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
